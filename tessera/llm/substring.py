@@ -50,13 +50,9 @@ class WordHashes:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], np.uint64)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
