@@ -179,8 +179,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOT
                         out.append((row["cell"], row["sub"], s["x_cell"], s["x_sub"]))
             yield pd.DataFrame(out, columns=["q_cell", "q_sub", "cell", "sub"])
 
-    grouped = span.groupBy(F.pmod(F.xxhash64("x_cell", "x_sub"), F.lit(max(1, sum(math.ceil(n / block) for n, _ in counts.values()) // 500))).alias("g")).agg(F.collect_list(F.struct("x_cell", "x_sub", "x_lo", "x_hi", "x_norm")).alias("spans")).select("spans")
-    pairs = ready.select("cell", "sub", "ids", "vectors", "dist", "kth").crossJoin(grouped).mapInPandas(reach, "q_cell int, q_sub int, cell int, sub int")
+    groups = max(1, sum(math.ceil(n / block) for n, _ in counts.values()) // 500)
+    grouped = span.groupBy(F.pmod(F.xxhash64("x_cell", "x_sub"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("x_cell", "x_sub", "x_lo", "x_hi", "x_norm")).alias("spans"))
+    copies = ready.select("cell", "sub", "ids", "vectors", "dist", "kth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    pairs = copies.join(grouped, "g").mapInPandas(reach, "q_cell int, q_sub int, cell int, sub int")
     q2 = ready.select(*[F.col(c).alias(c if c == "kth" else f"q_{c}") for c in ready.columns])
     second = pairs.join(q2.select("q_cell", "q_sub", "q_ids", "q_vectors", "q_dist", "kth"), ["q_cell", "q_sub"]).join(candidates.select("cell", "sub", "ids", "vectors", "dist"), ["cell", "sub"]).mapInPandas(met, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
