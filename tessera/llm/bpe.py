@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import spread
 
 LONG = 256
-CACHE = 300_000
+CACHE = 700_000
 NONE = np.int64(2**62)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,13 +176,23 @@ class ByteBPE:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+_coders: dict[tuple[str, str], ByteBPE] = {}
+
+
+def coder_of(path: str, pattern: str) -> ByteBPE:
+    """The worker's own coder: its memory of pieces outlasts a task."""
+    if (path, pattern) not in _coders:
+        _coders[path, pattern] = ByteBPE(path, pattern)
+    return _coders[path, pattern]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids and the decoded text."""
     kept = ", ids array<int>, decoded binary" * keep_ids
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = ByteBPE(path, pattern)
+        coder = coder_of(path, pattern)
         for frame in frames:
             for k in range(0, len(frame), 500):  # a bounded share of the batch at a time
                 part = frame.iloc[k : k + 500]
@@ -204,7 +214,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the bytes of its ids (doc_id, ids)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = ByteBPE(path, pattern)
+        coder = coder_of(path, pattern)
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "decoded": [coder.decode([] if x is None else list(x)) for x in f["ids"]]})
 

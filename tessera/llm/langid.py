@@ -20,6 +20,7 @@ go to the first language in order; texts of any length are read whole; an empty
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -185,7 +186,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, self.p.shape[1]))
+        self.rows, self.used = np.zeros((1 << 16, self.p.shape[1])), 0
 
     def learn(self, words: set[str]) -> None:
         if len(self.at) > CACHE:
@@ -197,22 +198,37 @@ class Scorer:
             for k in range(0, len(ws), 20_000):
                 some = ws[k : k + 20_000]
                 found = np.log(np.maximum(forward(self.cut.spans(some), n + 1, self.p)[n + 1], 1e-300))
-                self.at.update(zip(some, range(len(self.rows), len(self.rows) + len(some)), strict=True))
-                self.rows = np.concatenate([self.rows, found])
+                self.at.update(zip(some, range(self.used, self.used + len(some)), strict=True))
+                while self.used + len(some) > len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[self.used : self.used + len(some)] = found
+                self.used += len(some)
 
     def text(self, words: list[str]) -> np.ndarray:
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: str, pieces: list[str], p: np.ndarray) -> Scorer:
+    """The worker's own scorer of a model: its memory of words outlasts a task; one model is kept at a time."""
+    if model not in _scorers:
+        _scorers.clear()
+        _scorers[model] = Scorer(pieces, p)
+    return _scorers[model]
+
+
 def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndarray) -> DataFrame:
     """docs with lang_pred and score, from text alone."""
     send = docs.sparkSession.sparkContext.broadcast((pieces, languages, p))
+    model = uuid.uuid4().hex
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, languages, p = send.value
-        scorer = Scorer(pieces, p) if languages else None
+        scorer = scorer_of(model, pieces, p) if languages else None
         for frame in frames:
             for k in range(0, len(frame), 500):  # a bounded share of the batch at a time
                 part = frame.iloc[k : k + 500].copy()

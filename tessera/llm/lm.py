@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc32_of, written
-from tessera.llm.substring import WordHashes
+from tessera.llm.substring import hashed
 
 #: Weight of the unigram distribution in every state, in tokens.
 MASS = 2.0
@@ -42,11 +42,11 @@ PAIR_DROP = np.uint64(8)  # low bits left out of a pair's key
 class Block:
     """Distinct keys of a block's texts, by order, and where each token's key is among them."""
 
-    def __init__(self, texts: list, hashes: WordHashes):
+    def __init__(self, texts: list):
         rows = []
         for t in texts:
             words = (t if isinstance(t, str) else "").encode("utf-8", "surrogatepass").lower().split()
-            rows.append(np.append(hashes.of(words), END) if words else np.array([END]))
+            rows.append(np.append(hashed(words), END) if words else np.array([END]))
         self.lengths = np.array([len(r) for r in rows], np.int64)
         words = np.concatenate(rows)
         self.begins = np.cumsum(self.lengths) - self.lengths
@@ -100,7 +100,7 @@ def _read(data: bytes, n: int) -> np.ndarray:
 
 def _asked(parts: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        block = Block(frame["text"].tolist(), WordHashes())
+        block = Block(frame["text"].tolist())
         out = []
         for order in (1, 2):
             counts = block.counts(order, ~frame["held_out"].to_numpy(bool))
@@ -130,7 +130,7 @@ def _scored(parts: int, tokens: int, known: int, texts: int, mass: float, id_nam
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({c: [] for c in (id_name, "held_out", "n_tokens", "n_known", "base_score", "score")})
-        block = Block(docs["text"].tolist(), WordHashes())
+        block = Block(docs["text"].tolist())
         found = {}
         for order in (1, 2):
             total = np.zeros(len(block.keys[order]), np.int64)

@@ -35,24 +35,13 @@ from tessera.llm.common import WORD, spread, written
 WINDOW = 35
 SEED = 6
 HOT = 2000
-CACHE = 500_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(WORD)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def hashed(words: list) -> np.ndarray:
+    """64-bit hashes of words (strings or bytes)."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -83,10 +72,9 @@ def super_kmers(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray,
 def repeated_windows(packed: list[str], window: int) -> list[np.ndarray]:
     """For each packed string, which of its windows occur more than once among all of them, by exact comparison."""
     words = [p.split(" ") for p in packed]
-    hashes = WordHashes()
     owner, place, keys = [], [], []
     for i, w in enumerate(words):
-        r = rolled(hashes.of(w), window)
+        r = rolled(hashed(w), window)
         owner.append(np.full(len(r), i))
         place.append(np.arange(len(r)))
         keys.append(r)
@@ -124,11 +112,10 @@ def _cut(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """key, first, windows, mini of every super-k-mer."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for frame in frames:
+            for frame in frames:
             keys, firsts, counts, minis = [], [], [], []
             for key, text in zip(frame["_key"].tolist(), frame["text"], strict=True):
-                first, n, mini = super_kmers(hashes.of(_WORDS.findall(text)), window, seed)
+                first, n, mini = super_kmers(hashed(_WORDS.findall(text)), window, seed)
                 if len(first):
                     keys.append(np.full(len(first), key, np.int64))
                     firsts.append(first)
