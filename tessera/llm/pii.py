@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import let
+
 #: kind -> pattern. The alternatives are tried in this order; none spans lines.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
@@ -52,18 +54,13 @@ def _feistel(left: Column, right: Column, m_left: Column, m_right: Column, key:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, turn)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once: a one-element array binds it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """A keyed permutation of the digit strings of one length (2 to 34 digits)."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     m = lambda k: F.rpad(F.lit("1"), (k + 1).cast("int"), F.lit("0")).cast("long")  # noqa: E731  ten to the power k
     done = _feistel(digits.substr(F.lit(1), half), digits.substr(half + 1, n), m(half), m(n - half), key, kind)
-    return _let(done, lambda s: F.concat(F.lpad(s["a"].cast("string"), half, F.lit("0")), F.lpad(s["b"].cast("string"), (n - half).cast("int"), F.lit("0"))))
+    return let(done, lambda s: F.concat(F.lpad(s["a"].cast("string"), half, F.lit("0")), F.lpad(s["b"].cast("string"), (n - half).cast("int"), F.lit("0"))))
 
 
 def _only_digits(value: Column) -> Column:
@@ -75,7 +72,7 @@ def _luhn_sum(digits: Column) -> Column:
     each = F.split(F.reverse(digits), "")
     return F.aggregate(
         F.sequence(F.lit(1), F.length(digits)), F.lit(0),
-        lambda t, i: t + _let(F.element_at(each, i).cast("int"), lambda d: F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)),
+        lambda t, i: t + let(F.element_at(each, i).cast("int"), lambda d: F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)),
     )
 
 
@@ -91,22 +88,22 @@ def _refill(shape: Column, digits: Column) -> Column:
 def _card(value: Column, key: str) -> Column:
     def body(digits):
         free = permuted_digits(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
-        return _let(free, lambda x: F.concat(x, F.pmod(10 - F.pmod(_luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
+        return let(free, lambda x: F.concat(x, F.pmod(10 - F.pmod(_luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
 
-    return _let(_only_digits(value), lambda d: F.when((F.pmod(_luhn_sum(d), F.lit(10)) == 0) & ~d.rlike(r"^(\d)\1*$"), _let(body(d), lambda x: _refill(value, x))))
+    return let(_only_digits(value), lambda d: F.when((F.pmod(_luhn_sum(d), F.lit(10)) == 0) & ~d.rlike(r"^(\d)\1*$"), let(body(d), lambda x: _refill(value, x))))
 
 
 def _phone(value: Column, key: str) -> Column:
     """The country code stays; the national digits are permuted."""
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=\D)", 0)
     rest = value.substr(F.length(code) + 1, F.length(value))
-    return _let(_only_digits(rest), lambda d: F.when(F.length(_only_digits(value)).between(7, 15), F.concat(code, _refill(rest, permuted_digits(d, key, "phone")))))
+    return let(_only_digits(rest), lambda d: F.when(F.length(_only_digits(value)).between(7, 15), F.concat(code, _refill(rest, permuted_digits(d, key, "phone")))))
 
 
 def _ip(value: Column, key: str) -> Column:
     part = lambda i: F.split(value, r"\.")[i].cast("long")
     done = _feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), F.lit(65536), F.lit(65536), key, "ip")
-    return _let(done, lambda s: F.concat_ws(".", *[x.cast("string") for x in (F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256)]))
+    return let(done, lambda s: F.concat_ws(".", *[x.cast("string") for x in (F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256)]))
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -119,7 +116,7 @@ def _ssn(value: Column, key: str) -> Column:
         a = s["a"] + 1 + F.when(s["a"] + 1 >= 666, 1).otherwise(0)
         return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0"))
 
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), _let(done, text))
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), let(done, text))
 
 
 def _date(value: Column, key: str) -> Column:
@@ -127,7 +124,7 @@ def _date(value: Column, key: str) -> Column:
     first = F.lit("1800-01-01").cast("date")
     day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), first)
     done = _feistel(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), key, "date")
-    return F.when(day.isNotNull(), _let(done, lambda s: F.date_format(F.date_add(first, (s["a"] * 773 + s["b"]).cast("int")), "yyyy-MM-dd")))
+    return F.when(day.isNotNull(), let(done, lambda s: F.date_format(F.date_add(first, (s["a"] * 773 + s["b"]).cast("int")), "yyyy-MM-dd")))
 
 
 def _mod97(value: Column) -> Column:
@@ -143,10 +140,10 @@ def _iban(value: Column, key: str) -> Column:
             check = F.lpad((98 - _mod97(F.concat(new, x.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
             return F.concat(check, _only_digits(new))
 
-        new = _let(_only_digits(account), lambda d: F.when(F.length(d).between(6, 34), _refill(account, permuted_digits(d, key, "iban"))))
-        return _let(new, lambda n: F.when(n.isNotNull(), _refill(value, checked(n))))
+        new = let(_only_digits(account), lambda d: F.when(F.length(d).between(6, 34), _refill(account, permuted_digits(d, key, "iban"))))
+        return let(new, lambda n: F.when(n.isNotNull(), _refill(value, checked(n))))
 
-    return _let(F.replace(value, F.lit(" "), F.lit("")), lambda x: F.when(F.length(x).between(15, 34) & (_mod97(F.concat(x.substr(F.lit(5), F.length(x)), x.substr(1, 4))) == 1), body(x)))
+    return let(F.replace(value, F.lit(" "), F.lit("")), lambda x: F.when(F.length(x).between(15, 34) & (_mod97(F.concat(x.substr(F.lit(5), F.length(x)), x.substr(1, 4))) == 1), body(x)))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -186,7 +183,7 @@ def pseudonymise(docs: DataFrame, key: str = "tessera", text: str = "text") -> D
     kind_of = "struct<value:string,kind:string,put:string>"
     hits = F.when(
         whole.rlike(HINT),
-        F.transform(F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)), lambda v: _let(_kind(v), lambda k: F.struct(v.alias("value"), k.alias("kind"), _replaced(v, k, key).alias("put")))),
+        F.transform(F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)), lambda v: let(_kind(v), lambda k: F.struct(v.alias("value"), k.alias("kind"), _replaced(v, k, key).alias("put")))),
     ).otherwise(F.array().cast(f"array<{kind_of}>"))
     found = docs.select(*own, F.coalesce(hits, F.array().cast(f"array<{kind_of}>")).alias("_hits"))
     put = F.transform("_hits", lambda h: F.coalesce(h["put"], h["value"]))

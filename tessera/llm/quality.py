@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, words_of
+from tessera.llm.common import SPACE, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate, whatever its language.
@@ -39,8 +39,12 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbol_percent: int = 10
-    max_separators_percent: int = 20
-    min_words_unmarked: int = 8
+    #: Of a line's characters: menu separators.
+    max_separators_percent: int = 2
+    #: Shorter lines need a sentence mark.
+    min_chars_unmarked: int = 50
+    #: Longer lines are prose, whatever phrases they hold.
+    max_chars_boilerplate: int = 300
     max_lost_percent: int = 50
 
 
@@ -54,23 +58,31 @@ def _repeat_words(words: Column) -> Column:
 
     hashes = F.transform(starts, lambda i: F.xxhash64(*at(i)))
     ranked = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*at(i)).alias("h"), F.concat_ws(" ", *at(i)).alias("w"), i.alias("i"))))
-    # each entry of the sorted windows beside its neighbour: equal neighbours are repeats
-    both = F.zip_with(F.slice(ranked, 1, F.size(ranked) - 1), F.slice(ranked, 2, F.size(ranked) - 1), lambda a, b: F.when((a["h"] == b["h"]) & (a["w"] == b["w"]), F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)).otherwise(F.array().cast("array<int>")))
-    covered = F.size(F.array_distinct(F.flatten(both)))
-    # most texts repeat nothing: equal counts of windows and of distinct hashes prove it without the sort
+    empty = F.array().cast("array<int>")
+
+    def beside(r):
+        """Each entry of the sorted windows beside its neighbour: equal neighbours are repeats."""
+        return F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.when((a["h"] == b["h"]) & (a["w"] == b["w"]), F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)).otherwise(empty))
+
+    covered = let(ranked, lambda r: F.size(F.array_distinct(F.flatten(beside(r)))))
+    # many texts repeat nothing: equal counts of windows and of distinct hashes prove it without the sort
     return F.when(last < 1, F.lit(0)).when(F.size(F.array_distinct(hashes)) == last + 1, F.lit(0)).otherwise(covered).cast("long")
 
 
+def _count(text: Column, characters: str) -> Column:
+    """How many of the characters text has; most texts have none, which a scan tells faster."""
+    return F.when(text.rlike(f"[{characters}]"), F.length(text) - F.length(F.translate(text, characters, ""))).otherwise(F.lit(0))
+
+
 def _line_fails(line: Column, rules: QualityRules) -> Column:
-    inner = F.btrim(line, F.lit(SPACE))
-    n_words = F.size(F.split(inner, r"[\x20\x09-\x0D]+"))
-    symbols = F.length(inner) - F.length(F.translate(inner, SYMBOLS, ""))
-    bars = F.length(inner) - F.length(F.translate(inner, "|»›•·", ""))
-    boilerplate = inner.rlike(f"(?iu){BOILERPLATE}")
-    navigation = (bars * 100 > n_words * rules.max_separators_percent) | inner.rlike(f"(?i)^(?:(?:{NAVIGATION})(?:[\\s|/>»›•·-]+|$))+$")
-    unmarked = (n_words < rules.min_words_unmarked) & ~inner.rlike(r"[.!?…。！？؟।:;]")
-    noisy = symbols * 100 > F.length(inner) * rules.max_symbol_percent
-    return boilerplate | navigation | unmarked | noisy
+    def judge(x):
+        boilerplate = (F.length(x) <= rules.max_chars_boilerplate) & x.rlike(f"(?iu){BOILERPLATE}")
+        navigation = (_count(x, "|»›•·") * 100 > F.length(x) * rules.max_separators_percent) | x.rlike(f"(?i)^(?:(?:{NAVIGATION})(?:[\\s|/>»›•·-]+|$))+$")
+        unmarked = (F.length(x) < rules.min_chars_unmarked) & ~x.rlike(r"[.!?…。！？؟।:;]")
+        noisy = _count(x, SYMBOLS) * 100 > F.length(x) * rules.max_symbol_percent
+        return boilerplate | navigation | unmarked | noisy
+
+    return let(F.btrim(line, F.lit(SPACE)), judge)
 
 
 def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -82,11 +94,11 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
         *own,
         words_of(F.col("text")).alias("_words"),
         F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_full"),
-        F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
     judged = counted.select(
-        *own, "word_chars", "n_symbols", "_full",
+        *own, "n_symbols", "_full",
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_words").cast("long").alias("n_words"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_words")).alias("n_repeat_words"),
@@ -94,7 +106,8 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     )
     clean = F.array_join("_good", "\n")
     left = F.length(F.translate(clean, SPACE, ""))
-    lost = F.when(F.col("word_chars") == 0, F.lit(0.0)).otherwise((F.col("word_chars") - left) * 100.0 / F.col("word_chars"))
+    whole = F.size("_full") == F.size("_good")
+    lost = F.when(whole, F.lit(0.0)).otherwise((F.col("word_chars") - left) * 100.0 / F.col("word_chars"))
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     return judged.select(
         *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

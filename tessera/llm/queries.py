@@ -78,17 +78,17 @@ covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, i + unnest(rang
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 fl AS (SELECT rid, line, trim(line, {_SPACE}) AS x FROM lines WHERE trim(line, {_SPACE}) <> ''),
 judged AS (
-  SELECT rid, line, x, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n,
+  SELECT rid, line, x, length(x) AS n,
     length(x) - length(translate(x, '{SYMBOLS}', '')) AS symbols, length(x) - length(translate(x, '|»›•·', '')) AS bars
   FROM fl
 ),
 good AS (
   SELECT *, NOT (
-    regexp_matches(x, '(?i){BOILERPLATE}')
+    (n <= {_R.max_chars_boilerplate} AND regexp_matches(x, '(?i){BOILERPLATE}'))
     OR bars * 100 > n * {_R.max_separators_percent}
     OR regexp_matches(x, '(?i)^(?:(?:{NAVIGATION})(?:[\\s|/>»›•·-]+|$))+$')
-    OR (n < {_R.min_words_unmarked} AND NOT regexp_matches(x, '[.!?…。！？؟।:;]'))
-    OR symbols * 100 > length(x) * {_R.max_symbol_percent}
+    OR (n < {_R.min_chars_unmarked} AND NOT regexp_matches(x, '[.!?…。！？؟।:;]'))
+    OR symbols * 100 > n * {_R.max_symbol_percent}
   ) AS ok FROM judged
 ),
 per AS (
