@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ SALTS = 64
 RANGES = 4
 #: Encoded words kept by a worker before it forgets them.
 CACHE = 800_000
+#: Texts encoded together.
+GROUP = 250
 RUN = "kind string, size int, first long, count long"
 MATCH = "kind string, size int, first long, count long, bin long, gap int"
 
@@ -81,17 +84,16 @@ class WordTokenizer:
                 self.known[w] = data[at:stop]
                 at = stop
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = self.words(text)
+    def encode(self, texts: list) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; what is no string has none."""
+        cut = [self.words(t) if isinstance(t, str) else [] for t in texts]
         known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = set(words)
-            self._learn(list(new))
-        return b"".join([known[w] for w in words])
+        new = set(chain.from_iterable(cut)).difference(known)
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = set(chain.from_iterable(cut))
+        self._learn(list(new))
+        return [b"".join([known[w] for w in words]) for words in cut]
 
 
 _coders: dict[str, WordTokenizer] = {}
@@ -114,12 +116,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int =
         end = np.asarray([closing], "<u4").tobytes()
         for frame in frames:
             out: list[tuple] = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = (coder.encode(text) if isinstance(text, str) else b"") + end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    row = (doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))
-                    out.append((*row, part) if keep_ids else row)
+            for g in range(0, len(frame), GROUP):
+                part = frame.iloc[g : g + GROUP]
+                for doc_id, ids in zip(part["doc_id"], coder.encode(part["text"].tolist()), strict=True):
+                    ids += end
+                    for k in range(0, len(ids), 4 * capacity):
+                        piece = ids[k : k + 4 * capacity]
+                        row = (doc_id, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece))
+                        out.append((*row, piece) if keep_ids else row)
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
             yield pd.DataFrame(out, columns=names).astype({"doc_id": frame["doc_id"].dtype})
 

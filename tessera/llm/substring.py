@@ -8,8 +8,9 @@ share a minimiser form a super-k-mer, which travels as one packed string of its
    can repeat only where its minimiser occurs twice, so all others are settled here and no text of theirs ever moves.
 2. The super-k-mers of repeated minimisers fetch their words and go, packed, to their minimiser's bucket. There the
    windows are sorted by content (hash first, then the words themselves) and counted exactly.
-3. A minimiser with over HOT super-k-mers (a line that thousands of documents share) is no bucket of its own: its windows
-   are counted one by one, keyed by a 128-bit digest, with partial counts before the shuffle, so no task sees them all.
+3. A minimiser with over HOT super-k-mers (a line that thousands of documents share) is no bucket of its own: equal
+   super-k-mers are counted first, by a 128-bit digest, then the windows of the different ones, by theirs, with partial
+   counts before each shuffle, so no task sees them all.
 4. Repeated windows, as ranges, return to their rows, and every word they cover is removed.
 
 Rows are told apart by a hash of id and text, so rows repeated exactly are one another's repeats, and each gets its result.
@@ -34,7 +35,9 @@ from tessera.llm.common import WORD, spread, written
 
 WINDOW = 35
 SEED = 6
-HOT = 2000
+HOT = 500
+#: Rows of buckets settled together.
+BATCH = 20_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(WORD)
 
@@ -69,43 +72,40 @@ def super_kmers(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray,
     return first, np.diff(np.r_[first, len(views)]), seeds[at[first]]
 
 
-def repeated_windows(packed: list[str], window: int) -> list[np.ndarray]:
-    """For each packed string, which of its windows occur more than once among all of them, by exact comparison."""
-    words = [p.split(" ") for p in packed]
-    owner, place, keys = [], [], []
-    for i, w in enumerate(words):
-        r = rolled(hashed(w), window)
-        owner.append(np.full(len(r), i))
-        place.append(np.arange(len(r)))
-        keys.append(r)
-    owner, place, keys = np.concatenate(owner), np.concatenate(place), np.concatenate(keys)
-    flags = np.zeros(len(keys), bool)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    sizes = np.diff(np.r_[starts, len(k)])
-    for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-        same = order[s : s + n]
-        lead = words[owner[same[0]]][place[same[0]] : place[same[0]] + window]
-        equal = [words[owner[j]][place[j] : place[j] + window] == lead for j in same]
-        if all(equal):
-            flags[same] = True
-        else:  # a hash shared by different windows: count each content
-            seen: dict[tuple, list[int]] = {}
-            for j in same:
-                seen.setdefault(tuple(words[owner[j]][place[j] : place[j] + window]), []).append(j)
+def repeated_windows(packed: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, windows) of every run of windows that occur more than once among the packed strings.
+
+    Words become numbers one to one, so comparing numbers compares the words themselves; the rolled hash only sorts.
+    """
+    number: dict[str, int] = {}
+    rows = [p.split(" ") for p in packed]
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    ids = np.fromiter((number.setdefault(w, len(number)) for r in rows for w in r), np.int64, int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    keys = rolled(ids.astype(np.uint64) + np.uint64(1), window)
+    inside = np.ones(len(ids), bool)  # windows that end in the row they begin in
+    for k in range(1, window):
+        inside[np.maximum(begins[1:], k) - k] = False
+    at = np.flatnonzero(inside[: len(keys)])
+    order = at[np.argsort(keys[at], kind="stable")]
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    a, b = order[same], order[same + 1]
+    equal = np.ones(len(same), bool)
+    for k in range(window):
+        equal &= ids[a + k] == ids[b + k]
+    flags = np.zeros(len(ids) + 1, np.int8)
+    flags[a[equal]] = flags[b[equal]] = 1
+    if not equal.all():  # different windows of one hash: count each content
+        for h in np.unique(keys[a[~equal]]):
+            seen: dict[bytes, list[int]] = {}
+            for j in at[keys[at] == h].tolist():
+                seen.setdefault(ids[j : j + window].tobytes(), []).append(j)
             for js in seen.values():
-                if len(js) > 1:
-                    flags[js] = True
-    ends = np.cumsum([len(w) - window + 1 for w in words])
-    return np.split(flags, ends[:-1])
-
-
-def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(first, count) of the runs of set flags."""
-    edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
+                flags[js] = len(js) > 1
+    edge = np.diff(flags, prepend=np.int8(0))
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return list(zip(first.tolist(), (end - first).tolist(), strict=True))
+    row = np.searchsorted(begins, first, side="right") - 1
+    return row, first - begins[row], end - first
 
 
 def _cut(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -128,58 +128,82 @@ def _cut(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _fetch(window: int):
-    """Rows of (text, parts) -> the packed strings of its parts, or the digests of their windows where a part is hot."""
+    """Rows of (text, parts) -> the packed string of each part, and its digest where its minimiser is hot."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["_key", "first", "mini", "packed", "digest"]
         for frame in frames:
             out: list[tuple] = []
             for key, text, parts in zip(frame["_key"].tolist(), frame["text"], frame["parts"], strict=True):
                 words = _WORDS.findall(text)
                 for p in parts:
-                    first, n = p["first"], p["windows"]
-                    if not p["hot"]:
-                        out.append((key, first, p["mini"], " ".join(words[first : first + n + window - 1]), None))
-                    else:
-                        for k in range(first, first + n):
-                            out.append((key, k, None, None, xxhash.xxh3_128_digest(" ".join(words[k : k + window]))))
+                    packed = " ".join(words[p["first"] : p["first"] + p["windows"] + window - 1])
+                    out.append((key, p["first"], p["mini"], packed, xxhash.xxh3_128_digest(packed) if p["hot"] else None))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["_key", "first", "mini", "packed", "digest"]).astype({"mini": "Int64"})
+                    yield pd.DataFrame(out, columns=names)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["_key", "first", "mini", "packed", "digest"]).astype({"mini": "Int64"})
+                yield pd.DataFrame(out, columns=names)
 
     return run
 
 
 def _bucketed(window: int):
-    """Rows sorted by minimiser -> the ranges of repeated windows. One minimiser's rows at a time, at most HOT of them."""
+    """Rows sorted by minimiser -> the ranges of repeated windows, some thousands of rows of whole buckets at a time."""
 
-    def settle(keys: list[int], firsts: list[int], packed: list[str]) -> list[tuple]:
-        # windows of one super-k-mer have their minimiser at different places, so they differ: a lone one repeats nothing
-        if len(packed) < 2:
-            return []
-        flags = repeated_windows(packed, window)
-        return [(key, first + a, n) for key, first, f in zip(keys, firsts, flags, strict=True) if f.any() for a, n in _ranges(f)]
+    def settle(f: pd.DataFrame) -> pd.DataFrame:
+        row, first, n = repeated_windows(f["packed"].tolist(), window)
+        return pd.DataFrame({"_key": f["_key"].to_numpy()[row], "first": f["first"].to_numpy()[row] + first, "windows": n})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mini, keys, firsts, packed = None, [], [], []
+        held: pd.DataFrame | None = None
         for frame in frames:
-            out: list[tuple] = []
-            for m, key, first, p in zip(frame["mini"].tolist(), frame["_key"].tolist(), frame["first"].tolist(), frame["packed"], strict=True):
-                if m != mini and packed:
-                    out += settle(keys, firsts, packed)
-                    keys, firsts, packed = [], [], []
-                mini = m
-                keys.append(key)
-                firsts.append(first)
-                packed.append(p)
-            yield pd.DataFrame(out, columns=["_key", "first", "windows"])
-        if packed:
-            yield pd.DataFrame(settle(keys, firsts, packed), columns=["_key", "first", "windows"])
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            minis = held["mini"].to_numpy()
+            if len(held) < BATCH or minis[0] == minis[-1]:
+                continue
+            # the last minimiser's bucket may go on in the next batch
+            cut = len(minis) - int(np.argmax(minis[::-1] != minis[-1]))
+            yield settle(held.iloc[:cut])
+            held = held.iloc[cut:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield settle(held)
+
+    return run
+
+
+def _window_digests(window: int):
+    """Rows of (digest, packed) -> the digest of each of its windows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for digest, packed in zip(f["digest"], f["packed"], strict=True):
+                words = packed.split(" ")
+                out += [(digest, k, xxhash.xxh3_128_digest(" ".join(words[k : k + window]))) for k in range(len(words) - window + 1)]
+            yield pd.DataFrame(out, columns=["digest", "k", "w"])
 
     return run
 
 
+def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
+    """_key, first, windows of the repeated windows of hot minimisers.
+
+    Equal super-k-mers count as one, with their number: of those that occur twice all windows repeat. The windows of the
+    different ones are then counted by digest; every count is partial before its shuffle.
+    """
+    different = written(hot.groupBy("digest").agg(F.count("*").alias("n"), F.any_value("packed").alias("packed")), "different")
+    windows = written(different.mapInPandas(_window_digests(window), "digest binary, k int, w binary"), "windows")
+    twice = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+    several = windows.join(twice, "w", "left_semi").groupBy("digest").agg(F.collect_set("k").alias("ks"))
+    whole = F.sequence(F.lit(0), F.size(F.split("packed", " ")) - window)
+    found = different.join(several, "digest", "left").select("digest", F.when(F.col("n") > 1, whole).otherwise(F.col("ks")).alias("ks")).filter("ks IS NOT NULL")
+    # the run of a whole super-k-mer is one range, others go window by window
+    ranges = F.when(F.size("ks") == F.array_max("ks") + 1, F.array(F.struct(F.lit(0).alias("k"), F.size("ks").alias("n")))).otherwise(F.transform("ks", lambda k: F.struct(k.alias("k"), F.lit(1).alias("n"))))
+    met = hot.select("_key", "first", "digest").join(found.select("digest", ranges.alias("r")), "digest")
+    return met.select("_key", F.transform("r", lambda r: F.struct((F.col("first") + r["k"]).alias("first"), r["n"].alias("windows"))).alias("ranges"))
+
+
 def _removed(window: int, own: list[str], digest: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -221,17 +245,16 @@ def _removed(window: int, own: list[str], digest: bool):
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """_key, first, windows: the runs of windows whose words also start anywhere else. docs has _key and text."""
+    """_key, ranges (first, windows): the runs of windows whose words also start anywhere else. docs has _key and text."""
     kmers = written(_cut(spread(docs), window, seed), "superkmers")
     counts = kmers.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1")
     parts = kmers.join(counts, "mini").select("_key", F.struct("first", "windows", "mini", (F.col("n") > hot).alias("hot")).alias("part"))
     by_row = parts.groupBy("_key").agg(F.collect_set("part").alias("parts"))
     sent = written(docs.join(by_row, "_key").mapInPandas(_fetch(window), "_key long, first int, mini long, packed string, digest binary"), "packed")
-    cold = sent.filter(F.col("packed").isNotNull()).select("mini", "_key", "first", "packed")
+    cold = sent.filter(F.col("digest").isNull()).select("mini", "_key", "first", "packed")
     cold = cold.repartition("mini").sortWithinPartitions("mini").mapInPandas(_bucketed(window), "_key long, first int, windows int")
-    warm = sent.filter(F.col("packed").isNull()).select("_key", "first", "digest")
-    twice = warm.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    return cold.unionByName(warm.join(twice, "digest", "left_semi").select("_key", "first", F.lit(1).alias("windows")))
+    one = cold.select("_key", F.array(F.struct("first", "windows")).alias("ranges"))
+    return one.unionByName(_hot_ranges(sent.filter(F.col("digest").isNotNull()), window))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, digest: bool = False) -> DataFrame:
@@ -239,7 +262,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
     own = [c for c in docs.columns if c not in ("_key", "ranges", "n_words", "n_removed", "kept_sha256")]
     keyed = docs.select(*own, F.xxhash64("doc_id", "text").alias("_key"))
     found = repeated_ranges(keyed.select("_key", "text"), window, seed, hot)
-    ranges = written(found.groupBy("_key").agg(F.collect_set(F.struct("first", "windows")).alias("ranges")), "ranges")
+    ranges = written(found.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("ranges"))).alias("ranges")), "ranges")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*own).schema)
     schema = f"{types}, n_words long, n_removed long" + ", kept_sha256 string" * digest
     return keyed.join(ranges, "_key", "left").drop("_key").mapInPandas(_removed(window, own, digest), schema)
