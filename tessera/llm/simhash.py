@@ -138,7 +138,7 @@ def _links(max_bits: int):
                 by_size.setdefault(len(x), []).append(np.asarray(x, np.int64))
             for size, groups in by_size.items():
                 i, j = np.triu_indices(size, 1)
-                step = max(1, 2_000_000 // len(i)) if len(i) else 1
+                step = max(1, min(1_000_000 // max(1, len(i)), 50_000 // size))
                 for k in range(0, len(groups) if len(i) else 0, step):
                     fps = np.concatenate(groups[k : k + step]).view(np.uint64)
                     base = np.arange(0, len(fps), size)[:, None]
