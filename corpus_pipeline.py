@@ -25,8 +25,10 @@ def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail."""
-    judged = quality(docs).filter("kept")
-    return _as_documents(judged.withColumn("text", F.col("clean_text")), docs)
+    columns = [F.col("clean_text").alias(c) if c == "text" else F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    # a filter would be pushed below the rules, which Spark then writes out again for each use; a generator stays above
+    passed = F.explode(F.when(F.col("kept"), F.array(F.struct(*columns))))
+    return quality(docs).select(passed.alias("d")).select("d.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
