@@ -134,11 +134,11 @@ def _fetch(window: int):
         names = ["_key", "first", "mini", "packed", "digest"]
         for frame in frames:
             out: list[tuple] = []
-            for key, text, parts in zip(frame["_key"].tolist(), frame["text"], frame["parts"], strict=True):
+            for key, text, *parts in zip(frame["_key"].tolist(), frame["text"], frame["first"], frame["windows"], frame["mini"], frame["hot"], strict=True):
                 words = _WORDS.findall(text)
-                for p in parts:
-                    packed = " ".join(words[p["first"] : p["first"] + p["windows"] + window - 1])
-                    out.append((key, p["first"], p["mini"], packed, xxhash.xxh3_128_digest(packed) if p["hot"] else None))
+                for first, n, mini, hot in zip(*[p.tolist() for p in parts], strict=True):
+                    packed = " ".join(words[first : first + n + window - 1])
+                    out.append((key, first, mini, packed, xxhash.xxh3_128_digest(packed) if hot else None))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
@@ -208,9 +208,9 @@ def _removed(window: int, own: list[str], digest: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             total, gone, texts, hashes = [], [], [], []
-            for text, ranges in zip(frame["text"], frame["ranges"], strict=True):
+            for text, firsts, counts in zip(frame["text"], frame["_firsts"], frame["_counts"], strict=True):
                 has = isinstance(text, str)
-                if ranges is None or not len(ranges):
+                if firsts is None or not len(firsts):
                     words = _WORDS.findall(text) if has else []
                     total.append(len(words))
                     gone.append(0)
@@ -219,9 +219,8 @@ def _removed(window: int, own: list[str], digest: bool):
                 else:
                     spans = [m.span() for m in _WORDS.finditer(text)]
                     drop = np.zeros(len(spans) + 1, np.int32)
-                    for r in ranges:
-                        drop[r["first"]] += 1
-                        drop[min(r["first"] + r["windows"] + window - 1, len(spans))] -= 1
+                    np.add.at(drop, firsts, 1)
+                    np.add.at(drop, np.minimum(firsts + counts + window - 1, len(spans)), -1)
                     drop = np.cumsum(drop[:-1]) > 0
                     kept = [text[a:b] for (a, b), d in zip(spans, drop.tolist(), strict=True) if not d]
                     # a removed word goes with the white space before it
@@ -235,7 +234,7 @@ def _removed(window: int, own: list[str], digest: bool):
                     gone.append(int(drop.sum()))
                 if digest:
                     hashes.append(hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest())
-            out = frame.drop(columns=["ranges"])
+            out = frame.drop(columns=["_firsts", "_counts"])
             out["text"], out["n_words"], out["n_removed"] = texts, total, gone
             if digest:
                 out["kept_sha256"] = hashes
@@ -250,7 +249,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot
     counts = kmers.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1")
     parts = kmers.join(counts, "mini").select("_key", F.struct("first", "windows", "mini", (F.col("n") > hot).alias("hot")).alias("part"))
     by_row = parts.groupBy("_key").agg(F.collect_set("part").alias("parts"))
-    sent = written(docs.join(by_row, "_key").mapInPandas(_fetch(window), "_key long, first int, mini long, packed string, digest binary"), "packed")
+    # arrays of numbers cross to Python as they are; arrays of structs would become an object each
+    arrays = [F.transform("parts", lambda p: p["first"]).alias("first"), F.transform("parts", lambda p: p["windows"]).alias("windows"), F.transform("parts", lambda p: p["mini"]).alias("mini"), F.transform("parts", lambda p: p["hot"]).alias("hot")]
+    sent = written(docs.join(by_row, "_key").select("_key", "text", *arrays).mapInPandas(_fetch(window), "_key long, first int, mini long, packed string, digest binary"), "packed")
     cold = sent.filter(F.col("digest").isNull()).select("mini", "_key", "first", "packed")
     cold = cold.repartition("mini").sortWithinPartitions("mini").mapInPandas(_bucketed(window), "_key long, first int, windows int")
     one = cold.select("_key", F.array(F.struct("first", "windows")).alias("ranges"))
@@ -259,13 +260,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, digest: bool = False) -> DataFrame:
     """docs with repeated words cut from text, and n_words, n_removed (and kept_sha256 of the kept words)."""
-    own = [c for c in docs.columns if c not in ("_key", "ranges", "n_words", "n_removed", "kept_sha256")]
+    own = [c for c in docs.columns if c not in ("_key", "ranges", "_firsts", "_counts", "n_words", "n_removed", "kept_sha256")]
     keyed = docs.select(*own, F.xxhash64("doc_id", "text").alias("_key"))
     found = repeated_ranges(keyed.select("_key", "text"), window, seed, hot)
     ranges = written(found.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("ranges"))).alias("ranges")), "ranges")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*own).schema)
     schema = f"{types}, n_words long, n_removed long" + ", kept_sha256 string" * digest
-    return keyed.join(ranges, "_key", "left").drop("_key").mapInPandas(_removed(window, own, digest), schema)
+    split = [F.transform("ranges", lambda r: r["first"]).alias("_firsts"), F.transform("ranges", lambda r: r["windows"]).alias("_counts")]
+    return keyed.join(ranges, "_key", "left").select(*own, *split).mapInPandas(_removed(window, own, digest), schema)
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:
