@@ -32,7 +32,8 @@ from tessera.llm.common import written
 PIVOTS = 16
 SAMPLE = 2000
 BLOCK = 2048
-STEP = 512
+#: Candidates in the first tier; at least k.
+STEP = 256
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -73,25 +74,38 @@ class Packed:
 
 
 def meet(q: Packed, x: Packed, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of q: (id, ids, scores) of its k best in x, candidates in cap order; least: known k-th scores."""
-    bound = np.zeros((len(q.ids), len(x.ids)))
-    for p in range(q.table.shape[1]):
-        np.maximum(bound, np.abs(q.table[:, p, None] - x.table[None, :, p]), out=bound)
-    cap = (q.norms[:, None] + x.norms[None, :] - np.maximum(bound - 1e-6, 0) ** 2) / 2 + 1e-6
+    """For each query of q: (id, ids, scores) of its k best in x; least: known k-th scores.
+
+    Candidates come in the order of their caps, in two tiers: the STEP greatest caps give a k-th score, and of the rest
+    only those whose cap reaches it are looked at.
+    """
+    mine, theirs = q.table.astype(np.float32), x.table.astype(np.float32)
+    bound = np.zeros((len(q.ids), len(x.ids)), np.float32)
+    gap = np.empty_like(bound)
+    for p in range(mine.shape[1]):
+        np.subtract(mine[:, p, None], theirs[None, :, p], out=gap)
+        np.maximum(bound, np.abs(gap, out=gap), out=bound)
+    # bounds are rounded outward by far more than single precision loses
+    bound = np.maximum(bound * np.float32(1 - 1e-5) - np.float32(1e-2), 0)
+    cap = (q.norms[:, None] + x.norms[None, :] - bound.astype(np.float64) ** 2) / 2 + 1e-6
+    cap[q.ids[:, None] == x.ids[None, :]] = -np.inf
     for i, me in enumerate(q.ids.tolist()):
-        able = np.flatnonzero((cap[i] >= least[i]) & (x.ids != me))
-        able = able[np.argsort(-cap[i, able])]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for s in range(0, len(able), STEP):
-            some = able[s : s + STEP]
-            kth = max(least[i], scores[-1] if len(scores) == k else -np.inf)
-            if cap[i, some[0]] < kth:
-                break
-            got = x.vectors[some] @ q.vectors[i]
-            ids, scores = _best(np.r_[ids, x.ids[some]], np.r_[scores, got], k)
-        good = scores >= least[i]
-        if good.any():
-            yield me, ids[good], scores[good]
+        able = np.flatnonzero((cap[i] >= least[i]) & (cap[i] > -np.inf))
+        if not len(able):
+            continue
+        kth, rest = least[i], able[:0]
+        if len(able) > STEP:
+            order = np.argpartition(-cap[i, able], STEP)
+            able, rest = able[order[:STEP]], able[order[STEP:]]
+        scores = x.vectors[able] @ q.vectors[i]
+        if len(rest):
+            kth = max(kth, np.partition(scores, len(scores) - k)[len(scores) - k])
+            rest = rest[cap[i, rest] >= kth]
+            able, scores = np.r_[able, rest], np.r_[scores, x.vectors[rest] @ q.vectors[i]]
+        good = scores >= kth
+        ids, scores = _best(x.ids[able[good]], scores[good], k)
+        if len(ids):
+            yield me, ids, scores
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
