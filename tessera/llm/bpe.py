@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import spread
+from tessera.llm.common import memory, spread
 
 LONG = 256
 CACHE = 700_000
@@ -176,14 +176,9 @@ class ByteBPE:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-_coders: dict[tuple[str, str], ByteBPE] = {}
-
-
 def coder_of(path: str, pattern: str) -> ByteBPE:
     """The worker's own coder: its memory of pieces outlasts a task."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = ByteBPE(path, pattern)
-    return _coders[path, pattern]
+    return memory(f"bpe {path} {pattern}", lambda: ByteBPE(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:

@@ -27,6 +27,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+_memories: dict[str, object] = {}
+
+
+def memory(name: str = "", make: Callable[[], object] | None = None):
+    """What a Python worker remembers between tasks, of one operator at a time: asking for another drops it."""
+    for other in [k for k in _memories if k != name]:
+        del _memories[other]
+    if make and name not in _memories:
+        _memories[name] = make()
+    return _memories.get(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

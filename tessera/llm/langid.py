@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_of, spread
+from tessera.llm.common import crc32_of, memory, spread
 
 PER_LANGUAGE = 300
 ROUNDS = 4
@@ -208,17 +208,6 @@ class Scorer:
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer_of(model: str, pieces: list[str], p: np.ndarray) -> Scorer:
-    """The worker's own scorer of a model: its memory of words outlasts a task; one model is kept at a time."""
-    if model not in _scorers:
-        _scorers.clear()
-        _scorers[model] = Scorer(pieces, p)
-    return _scorers[model]
-
-
 def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndarray) -> DataFrame:
     """docs with lang_pred and score, from text alone."""
     send = docs.sparkSession.sparkContext.broadcast((pieces, languages, p))
@@ -228,7 +217,7 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, languages, p = send.value
-        scorer = scorer_of(model, pieces, p) if languages else None
+        scorer = memory(model, lambda: Scorer(pieces, p)) if languages else None
         for frame in frames:
             for k in range(0, len(frame), 500):  # a bounded share of the batch at a time
                 part = frame.iloc[k : k + 500].copy()

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, spread, written
+from tessera.llm.common import WORD, memory, spread, written
 
 #: Pieces of one length are ranked in so many groups.
 SALTS = 64
@@ -96,15 +96,10 @@ class WordTokenizer:
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
-_coders: dict[str, WordTokenizer] = {}
-
-
 def coder_of(path: str) -> WordTokenizer:
     """The worker's own tokenizer: its memory of words outlasts a task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _coders:
-        _coders[path] = WordTokenizer(path)
-    return _coders[path]
+    return memory(f"tokenizer {path}", lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, keep_ids: bool = False) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spread, written
+from tessera.llm.common import memory, spread, written
 
 MAX_BITS = 4
 SEED = 42
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, _key (of the row) and fp (the fingerprint as a signed long) of every row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
         for f in frames:
             found = np.array([fingerprint(x if isinstance(x, str) else None, shingle) for x in f["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": f["doc_id"], "_key": f["_key"], "fp": found})
@@ -132,6 +133,7 @@ def _links(max_bits: int):
     """Rows of (fps) -> forest edges; groups of one size are paired together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
         for f in frames:
             by_size: dict[int, list[np.ndarray]] = {}
             for x in f["fps"]:

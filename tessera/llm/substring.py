@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, spread, written
+from tessera.llm.common import WORD, memory, spread, written
 
 WINDOW = 35
 SEED = 6
@@ -112,6 +112,7 @@ def _cut(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """key, first, windows, mini of every super-k-mer."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
         for frame in frames:
             keys, firsts, counts, minis = [], [], [], []
             for key, text in zip(frame["_key"].tolist(), frame["text"], strict=True):
@@ -131,6 +132,7 @@ def _fetch(window: int):
     """Rows of (text, parts) -> the packed string of each part, and its digest where its minimiser is hot."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
         names = ["_key", "first", "mini", "packed", "digest"]
         for frame in frames:
             out: list[tuple] = []
@@ -156,6 +158,7 @@ def _bucketed(window: int):
         return pd.DataFrame({"_key": f["_key"].to_numpy()[row], "first": f["first"].to_numpy()[row] + first, "windows": n})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
         held: pd.DataFrame | None = None
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
@@ -176,6 +179,7 @@ def _window_digests(window: int):
     """Rows of (digest, packed) -> the digest of each of its windows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
         for f in frames:
             out = []
             for digest, packed in zip(f["digest"], f["packed"], strict=True):
@@ -206,6 +210,7 @@ def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
 
 def _removed(window: int, own: list[str], digest: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
         for frame in frames:
             total, gone, texts, hashes = [], [], [], []
             for text, firsts, counts in zip(frame["text"], frame["_firsts"], frame["_counts"], strict=True):
