@@ -158,16 +158,12 @@ def boolean(index: Index, query: str) -> DataFrame:
     return universe.join(held, "chunk_id", "left").withColumn("leaves", F.coalesce("leaves", F.array().cast("array<int>"))).filter(predicate).select("chunk_id")
 
 
-def trace(index: Index, query: str) -> list[tuple[str, int]]:
-    """(node, chunks) of every node, leaves first."""
-    out = []
-
-    def walk(node: Node, text: str) -> None:
-        out.append((text, boolean(index, text).count()))
-
+def trace(index: Index, query: str) -> DataFrame:
+    """step, node, n: how many chunks each leaf of a query holds for, in order, and the whole query last."""
+    nodes = []
     for item in lex(query):
         if isinstance(item, Node):
             text = f'"{item.value}"' if item.kind == "phrase" else item.value
-            walk(item, f"{item.zone}:{text}" if item.zone else text)
-    out.append((query, boolean(index, query).count()))
-    return out
+            nodes.append(f"{item.zone}:{text}" if item.zone else text)
+    counts = [boolean(index, t).agg(F.count("*").alias("n")).select(F.lit(i).alias("step"), F.lit(t).alias("node"), "n") for i, t in enumerate([*nodes, query])]
+    return reduce(DataFrame.unionByName, counts)

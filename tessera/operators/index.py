@@ -93,7 +93,11 @@ def build(docs: DataFrame, config: IndexConfig = IndexConfig()) -> Index:
     """The index of docs (doc_id string, title, text, meta); of rows with one doc_id, one is indexed."""
     unique = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id"])
     chunks = written(chunk(unique, config), "chunks")
-    postings = written(postings_of(chunks, config.analyzer), "postings")
+    return indexed(chunks, written(postings_of(chunks, config.analyzer), "postings"), config)
+
+
+def indexed(chunks: DataFrame, postings: DataFrame, config: IndexConfig) -> Index:
+    """The index of chunks and their postings: the statistics, and the champions."""
     n, total = postings.groupBy("chunk_id").agg(F.sum("tf").alias("l")).agg(F.count("*"), F.coalesce(F.sum("l"), F.lit(0))).first()
     terms = written(term_stats_of(postings, n), "terms")
     stats = written(chunk_stats_of(postings, terms, config, n), "stats")
@@ -109,6 +113,17 @@ def skip_plan(postings: DataFrame, term_stats: DataFrame) -> DataFrame:
     return ranked.filter((F.col("i") >= step) & (F.col("i") % step == 0)).select("term", "i", "chunk_id")
 
 
+def describe_term(index: Index, terms: DataFrame, limit: int = 8) -> DataFrame:
+    """term, df, idf, postings, skips, champions of index terms (term): the first limit postings and skips by chunk id."""
+    wanted = terms.select("term").distinct()
+    sample = lambda rows, order, what, name: rows.join(wanted, "term", "left_semi").withColumn("o", F.row_number().over(Window.partitionBy("term").orderBy(order))).filter(F.col("o") <= limit).groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", what.alias("x")))), lambda s: s["x"]).alias(name))
+    held = index.postings.join(wanted, "term", "left_semi")
+    facts = wanted.join(index.term_stats.select("term", "df", "idf"), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("idf", F.lit(0.0)).alias("idf"))
+    out = facts.join(sample(held, "chunk_id", F.struct("chunk_id", "tf", "tf_title", F.slice("positions", 1, 8).alias("positions")), "postings"), "term", "left")
+    out = out.join(sample(skip_plan(held, index.term_stats), "i", F.struct("i", "chunk_id"), "skips"), "term", "left")
+    return out.join(sample(index.champions, "rnk", F.col("chunk_id"), "champions"), "term", "left")
+
+
 def build_stats(index: Index) -> DataFrame:
     terms = index.term_stats.agg(F.count("*").alias("terms"))
     return index.chunks.agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.round(F.avg("tokens"), 1).alias("avg_tokens")).crossJoin(F.broadcast(terms))

@@ -52,8 +52,8 @@ def proximity(index: Index, qvec: DataFrame, candidates: DataFrame, window: int)
     return a.join(b, ["qid", "chunk_id"]).filter((F.col("t1") < F.col("t2")) & near).groupBy("qid", "chunk_id").agg(F.count("*").alias("close"))
 
 
-def search(index: Index, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """qid, rank, chunk_id, score, base, proximity, g of each query's k best chunks; ties by chunk id."""
+def components(index: Index, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """qid, chunk_id, base, proximity, g of every chunk that holds a query term; what has no weight is zero."""
     qvec = query_vector(index, query_terms(index, queries), ["qid"], config.eliminate)
     base = term_scores(index, qvec, config).groupBy("qid", "chunk_id").agg(F.sum("w").alias("base"), F.count("*").alias("matched"))
     scored = base.withColumn("proximity", F.lit(0.0))
@@ -66,10 +66,19 @@ def search(index: Index, queries: DataFrame, config: SearchConfig = SearchConfig
         scored = scored.join(index.chunk_stats.select("chunk_id", "g"), "chunk_id")
     else:
         scored = scored.withColumn("g", F.lit(0.0))
-    score = F.col("base") * (1 + config.proximity_weight * F.col("proximity")) + config.static_weight * F.col("g")
+    return scored.select("qid", "chunk_id", "base", "proximity", "g")
+
+
+def top(scored: DataFrame, k: int) -> DataFrame:
+    """scored with rank: each query's k best rows; ties by chunk id."""
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    ranked = scored.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.k)
-    return ranked.select("qid", "rank", "chunk_id", "score", "base", "proximity", "g")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def search(index: Index, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """qid, rank, chunk_id, score, base, proximity, g of each query's k best chunks; ties by chunk id."""
+    score = F.col("base") * (1 + config.proximity_weight * F.col("proximity")) + config.static_weight * F.col("g")
+    return top(components(index, queries, config).withColumn("score", score), config.k).select("qid", "rank", "chunk_id", "score", "base", "proximity", "g")
 
 
 def parent_ranking(index: Index, ranked: DataFrame) -> DataFrame:
@@ -88,3 +97,9 @@ def explain(index: Index, queries: DataFrame, config: SearchConfig = SearchConfi
 def match_count(index: Index, queries: DataFrame) -> DataFrame:
     """qid, chunk_id, n: distinct query terms that a chunk holds."""
     return query_terms(index, queries).select("qid", "term").distinct().join(index.postings.select("term", "chunk_id"), "term").groupBy("qid", "chunk_id").agg(F.count("*").alias("n"))
+
+
+def contributions(index: Index, queries: DataFrame, ranked: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """qid, chunk_id, term, w: what each query term adds to the base score of each ranked chunk."""
+    qvec = query_vector(index, query_terms(index, queries), ["qid"], config.eliminate)
+    return term_scores(index, qvec, config).join(ranked.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi").select("qid", "chunk_id", "term", "w")

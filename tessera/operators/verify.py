@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import NUMERIC_CLAIM, analyze, citations, sentences, without_citations
 from tessera.operators.index import Index, effective_tf
 from tessera.operators.search import query_terms, query_vector
-from tessera.plans.config import VerifyConfig
+from tessera.plans.config import AnalyzerConfig, VerifyConfig
 from tessera.plans.storage import written
 
 
@@ -61,18 +63,39 @@ def build_prompt(index: Index, ranked: DataFrame, queries: DataFrame) -> DataFra
     return parts.join(queries.select("qid", "text"), "qid").select("qid", F.concat(F.lit(rule + "\n\nSources:\n"), body, F.lit("\n\nQuery: "), F.col("text"), F.lit("\n\nAnswer:")).alias("prompt"))
 
 
+def generated(prompts: DataFrame, generate: Callable[[str], str]) -> DataFrame:
+    """qid, text: what a generator outside (a function of the prompt, shipped to the executors) says; parse_cited takes it."""
+
+    def said(batches):
+        for b in batches:
+            yield b.assign(text=b["prompt"].map(generate))[["qid", "text"]]
+
+    return prompts.select("qid", "prompt").mapInPandas(said, "qid string, text string")
+
+
+def unit_vector(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, weight: logarithmic term counts at unit length, without idf."""
+    counted = terms.groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("w"))
+    return counted.select(*keys, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))).alias("weight"))
+
+
+def verdict_counts(verified: DataFrame) -> DataFrame:
+    return verified.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def support(cos: Column, penalty: Column, weight: float, form: str = "mul") -> Column:
     raw = cos * (1 - F.least(F.lit(1.0), weight * penalty)) if form == "mul" else cos - weight * penalty
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
 
 
-def claim_scores(index: Index, claims: DataFrame, pairs: DataFrame) -> DataFrame:
+def claim_scores(index: Index, claims: DataFrame, pairs: DataFrame, analyzer: AnalyzerConfig | None = None) -> DataFrame:
     """cid, chunk_id, cosine, penalty, novel of pairs (cid, chunk_id); claims: cid, text.
 
     The penalty is the idf share of the claim's terms that the chunk lacks; terms that the corpus lacks, or that all chunks
-    hold, do not count. In finance mode numbers count half as much again.
+    hold, do not count. In finance mode numbers count half as much again. Claims are analysed as the index was, unless an
+    analyzer is given.
     """
-    terms = analyze(claims, ["cid"], "text", index.config.analyzer)
+    terms = analyze(claims, ["cid"], "text", analyzer or index.config.analyzer)
     vec = query_vector(index, terms, ["cid"]).filter("idf > 0")
     held = index.postings.select("term", "chunk_id", "tf", "tf_title").withColumn("there", F.lit(True))
     weight = F.when(F.col("term").rlike(NUMERIC_CLAIM), 1.5).otherwise(1.0) if index.config.analyzer.finance_mode else F.lit(1.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,15 @@ from tessera.operators import boolean as B
 from tessera.operators import evaluate as E
 from tessera.operators import index as I
 from tessera.operators import search as S
+from tessera.operators import tuning as TU
+from tessera.operators import verifier_eval as VE
 from tessera.operators import verify as V
 from tessera.operators.chunking import chunk, is_table_line
+from tessera.operators.verifier_eval import evidence_of
 from tessera.plans.config import AnalyzerConfig, IndexConfig, SearchConfig
-from tessera.plans.storage import written
+from tessera.plans.storage import shared_dir, written
+from tessera.sources.readers import Defaults, ingest, read_corpus, read_qrels, read_queries, surrogate_id
+from tessera.sources.sinks import write_jsonl
 
 INDEX = IndexConfig(champions=50)
 
@@ -98,11 +104,33 @@ def finance_flags(docs: DataFrame) -> DataFrame:
     return t.select("token", T.is_finance_token(F.col("token")).alias("finance"), F.col("token").rlike(T.NUMERIC_CLAIM).alias("number"))
 
 
+def holding(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """qid, doc_id: the documents whose text contains a head (qid, head of at most twelve words, split at spaces).
+
+    A text that contains a head holds all of its words but the first and the last as they are, side by side. Hashes of such
+    runs are equi-joined, and what meets is compared.
+    """
+    words = F.split("head", " ")
+    length = F.greatest(F.size(words) - 2, F.lit(0))
+    runs = heads.select("qid", "head", length.alias("length"), F.xxhash64(F.array_join(F.slice(words, 2, length), " ")).alias("key"))
+    lengths = sorted(r.length for r in runs.select("length").distinct().collect())  # 0 to 10
+    hashed = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    none = F.array().cast("array<bigint>")
+    keys = [F.when(F.size("w") >= n, F.array_distinct(hashed(n))).otherwise(none) if n else F.array(F.xxhash64(F.lit(""))) for n in lengths]
+    split = docs.select("doc_id", F.split("text", " ").alias("w"))
+    met = split.select("doc_id", F.explode(F.flatten(F.array(none, *keys))).alias("key")).join(runs, "key").select("doc_id", "qid", "head").distinct()
+    return met.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "head")).select("qid", "doc_id")
+
+
+@lru_cache(maxsize=4)
+def _qrels(application: str, sf_dir: str) -> DataFrame:
+    spark = SparkSession.getActiveSession()
+    return written(holding(corpus(spark, sf_dir), short_queries(spark, sf_dir).withColumnRenamed("text", "head")), "qrels")
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, doc_id: the documents that hold an item's first twelve words as they are."""
-    first = short_queries(spark, sf_dir)
-    # an equi-join on the first word's position list would need an index; the item set is fixed and small
-    return corpus(spark, sf_dir).join(F.broadcast(first.select("qid", F.col("text").alias("head"))), F.expr("contains(text, head)")).select("qid", "doc_id")
+    return _qrels(spark.sparkContext.applicationId, sf_dir)
 
 
 def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +172,99 @@ def parse_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.parse_cited(marked, 5).select("qid", F.col("pos").cast("bigint").alias("pos"), "text", F.array_join("citations", ",").alias("citations"))
 
 
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines, read back as a corpus."""
+    path = _file(spark, "corpus")
+    write_jsonl(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("title"), "text"), path)
+    return read_corpus(spark, path).select("doc_id", "title", "text")
+
+
+def scan_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as JSON lines with evidence for the even ones, read back."""
+    path, n = _file(spark, "queries"), F.col("item_id")
+    entry = F.array(F.struct(F.array((n % 3).cast("int")).alias("sentences"), F.lit("SUPPORT").alias("label")))
+    metadata = F.when(n % 2 == 0, F.create_map(n.cast("string"), entry)).otherwise(F.create_map().cast("map<string,array<struct<sentences:array<int>,label:string>>>"))
+    write_jsonl(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(n.cast("string").alias("_id"), "text", metadata.alias("metadata")), path)
+    found = read_queries(spark, path)
+    rows = evidence_of(found).select("qid", "doc_id", F.col("sentences")[0].cast("string").alias("sentence"), "label")
+    return found.select("qid", "text").join(rows, "qid", "left")
+
+
+def scan_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as tab-separated judgements, read back."""
+    path = _file(spark, "qrels")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels.select(F.col("quality").cast("string").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("toxic").cast("double").alias("score")).write.csv(path, sep="\t", header=True)
+    return read_qrels(spark, path).select("qid", "doc_id", F.col("score").cast("bigint").alias("score"))
+
+
+def ingest_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as CSV files, ingested row by row."""
+    path, n = _file(spark, "ingest"), F.col("item_id").cast("string")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(n.alias("_id"), F.concat(F.lit("item "), n).alias("title"), "text", F.lit("2024-Q1").alias("period")).write.csv(path, header=True, escape='"')
+    return ingest(spark, path, Defaults(company="none")).select("_id", "title", "text", "ticker", "company", "period")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item's words back it where its number is even, and speak against it where it is odd."""
+    n = F.col("qid").cast("bigint")
+    return qrels(spark, sf_dir).select("qid", "doc_id", F.array(F.lit(0), (n % 3).cast("int")).alias("sentences"), F.when(n % 2 == 0, "SUPPORT").otherwise("CONTRADICT").alias("label"))
+
+
+def verifier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VE.items(short_queries(spark, sf_dir), evidence(spark, sf_dir))
+
+
+@lru_cache(maxsize=4)
+def _verifier_scores(application: str, sf_dir: str) -> DataFrame:
+    spark = SparkSession.getActiveSession()
+    return written(VE.scores(index(spark, sf_dir), verifier_items(spark, sf_dir), ranked(spark, sf_dir)), "verifier-scores")
+
+
+def verifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verifier_scores(spark.sparkContext.applicationId, sf_dir)
+
+
+def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, top = index(spark, sf_dir), ranked(spark, sf_dir).filter("rank <= 5")
+    said = V.answer(x, top, short_queries(spark, sf_dir))
+    return _rounded(VE.evidence_recall(x, verifier_items(spark, sf_dir), evidence(spark, sf_dir), top, said))
+
+
+def support_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = claim_scores(spark, sf_dir)
+    return _rounded(scored.select("cid", "chunk_id", *[V.support(F.col("cosine"), F.col("penalty"), 0.6, f).alias(f) for f in ("mul", "sub")]))
+
+
+def describe_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = index(spark, sf_dir)
+    found = I.describe_term(x, S.query_terms(x, short_queries(spark, sf_dir)).select("term"))
+    listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), " "), F.lit("")).alias(c)
+    return _rounded(found.select("term", "df", "idf", listed("postings", lambda p: p["chunk_id"]), listed("skips", lambda p: p["chunk_id"]), listed("champions", lambda p: p)))
+
+
+def sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = ranked(spark, sf_dir).filter("rank <= 5")
+    return _rounded(V.sentence_candidates(index(spark, sf_dir), top, short_queries(spark, sf_dir)))
+
+
+def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.build_prompt(index(spark, sf_dir), ranked(spark, sf_dir).filter("rank <= 3"), short_queries(spark, sf_dir))
+
+
+def answer_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(V.unit_vector(S.query_terms(index(spark, sf_dir), short_queries(spark, sf_dir)), ["qid"]))
+
+
+def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0))
+    return _rounded(S.contributions(index(spark, sf_dir), short_queries(spark, sf_dir), top))
+
+
 QUERIES = {
     "normalize_text": _texts(lambda d: d.select("doc_id", T.normalize(F.col("text")).alias("norm"))),
     "normalize_finance": _texts(lambda d: d.select("doc_id", T.normalize(F.col("text"), True).alias("norm"))),
@@ -191,4 +312,34 @@ QUERIES = {
     "verify_answers": verify_answers,
     "parse_citations": parse_citations,
     "eval_retrieval": eval_retrieval,
+    "eval_mean": lambda s, d: _rounded(E.mean_metrics(eval_retrieval(s, d))),
+    "scan_corpus": scan_corpus,
+    "scan_queries": scan_queries,
+    "scan_qrels": scan_qrels,
+    "ingest_docs": ingest_docs,
+    "surrogate_id": _texts(lambda d: d.select("doc_id", surrogate_id(F.lit("folder/file.txt"), F.col("text")).alias("id"))),
+    "qrels": qrels,
+    "query_terms": lambda s, d: _rounded(S.query_terms(index(s, d), short_queries(s, d)).select("qid", "pos", "term")),
+    "describe_term": describe_terms,
+    "explain_contributions": contributions,
+    "bool_zone_phrase": lambda s, d: B.phrase(index(s, d), ["onin", "thnt"], "body"),
+    "bool_trace": lambda s, d: _rounded(B.trace(index(s, d), "ererin AND onin")),
+    "sentence_candidates": sentence_candidates,
+    "build_prompt": build_prompt,
+    "answer_vector": answer_vector,
+    "support_scores": support_scores,
+    "verdict_counts": lambda s, d: V.verdict_counts(verify_claims(s, d)),
+    "split_qids": lambda s, d: E.split_qids(short_queries(s, d).select("qid")),
+    "verifier_items": lambda s, d: verifier_items(s, d).select("qid", "doc_id", "label"),
+    "verifier_scores": lambda s, d: _rounded(verifier_scores(s, d).select("qid", "doc_id", "label", "cosine", "penalty", "jaccard")),
+    "score_histogram": lambda s, d: VE.histogram(verifier_scores(s, d)),
+    "tune_threshold": lambda s, d: _rounded(E.best_threshold(E.threshold_sweep(verifier_scores(s, d), "cosine"))),
+    "tune_penalty": lambda s, d: _rounded(VE.best_penalty(VE.penalty_grid(verifier_scores(s, d)))),
+    "binary_metrics": lambda s, d: _rounded(VE.binary_metrics(verifier_scores(s, d), "jaccard", 0.05)),
+    "eval_verifier": lambda s, d: _rounded(VE.report(verifier_scores(s, d), E.split_qids(short_queries(s, d).select("qid")))),
+    "hit_at_k": lambda s, d: _rounded(VE.hit_at_k(index(s, d), verifier_items(s, d), ranked(s, d))),
+    "evidence_recall": evidence_recall,
+    "tune_proximity": lambda s, d: _rounded(TU.proximity_grid(index(s, d), short_queries(s, d), qrels(s, d))),
+    "ablation": lambda s, d: _rounded(TU.ablation(corpus(s, d), short_queries(s, d), qrels(s, d))),
+    "chunk_ablation": lambda s, d: _rounded(TU.chunk_ablation(corpus(s, d), short_queries(s, d), qrels(s, d))),
 }

@@ -1 +1 @@
-
+"""Corpora that grow."""

@@ -95,3 +95,37 @@ def test_threshold(spark):
     items = spark.createDataFrame([(0.9, True), (0.4, True), (0.2, False)], "score double, gold boolean")
     best = E.best_threshold(E.threshold_sweep(items)).first()
     assert best.f1 == 1 and best.threshold == 0.25
+
+
+def test_verifier_evaluation(index, spark):
+    from tessera.operators import verifier_eval as VE
+
+    queries = spark.createDataFrame([("1", "The red fox runs", {"a": [([0], "SUPPORT")]}), ("2", "A blue fox runs along rivers", {"b": [([0], "CONTRADICT")], "zz": [([1], "CONTRADICT")]}), ("3", "cold", {})], "qid string, text string, metadata map<string,array<struct<sentences:array<int>,label:string>>>")
+    evidence = VE.evidence_of(queries)
+    items = VE.items(queries, evidence)
+    assert sorted((r.qid, r.doc_id or "", r.label) for r in items.collect()) == [("1", "a", "SUPPORT"), ("2", "b", "CONTRADICT"), ("2", "zz", "CONTRADICT"), ("3", "", "NEI")]
+    ranked = S.search(index, queries)
+    got = {(r.qid, r.doc_id): r for r in VE.scores(index, items, ranked).collect()}
+    assert len(got) == 4
+    # red fox run of red, fox, run, like, cold, river
+    assert got["1", "a"].jaccard == pytest.approx(3 / 6) and got["1", "a"].penalty == 0 and got["1", "a"].cosine > got["2", "b"].cosine
+    assert (got["2", "zz"].cosine, got["2", "zz"].jaccard) == (0, 0) and got["3", None].cosine > 0
+    assert VE.best_penalty(VE.penalty_grid(VE.scores(index, items, ranked))).first().f1 == 1
+    hits = VE.hit_at_k(index, items, ranked).first()
+    assert hits.n == 3 and hits.hit5 == pytest.approx(2 / 3)
+    recall = VE.evidence_recall(index, items, evidence, ranked, spark.createDataFrame([("1", "The red fox runs.")], "qid string, text string")).first()
+    assert (recall.n, recall.baseline, recall.answer) == (1, 1, 1)
+    m = VE.binary_metrics(spark.createDataFrame([(0.9, True), (0.8, False), (0.1, True), (0.0, False)], "s double, gold boolean"), "s", 0.5).first()
+    assert (m.precision, m.recall, m.f1, m.accuracy, m.n) == (0.5, 0.5, 0.5, 0.5, 4)
+
+
+def test_holding(spark):
+    from tessera.plans.queries import holding
+
+    docs = spark.createDataFrame([("1", "xa b c d cy"), ("2", "a b"), ("3", "nothing"), ("4", "")], "doc_id string, text string")
+    heads = spark.createDataFrame([("p", "a b c d c"), ("q", "a b"), ("r", "a c d c"), ("s", "c"), ("t", "b c d")], "qid string, head string")
+    assert sorted((r.qid, r.doc_id) for r in holding(docs, heads).collect()) == [("p", "1"), ("q", "1"), ("q", "2"), ("s", "1"), ("t", "1")]
+
+
+def test_trace(index):
+    assert [(r.node, r.n) for r in B.trace(index, '"cold rivers" AND title:fox').orderBy("step").collect()] == [('"cold rivers"', 2), ("title:fox", 1), ('"cold rivers" AND title:fox', 1)]
