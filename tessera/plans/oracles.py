@@ -120,7 +120,7 @@ STEPS |= {
     "grid": f"SELECT * FROM (VALUES {_GRID}) g(point, weight, win, eta)",
     "gs": "SELECT point, t.qid, t.chunk_id, base * (1 + weight * coalesce(close / (u * (u - 1) / 2), 0)) + eta * g AS score FROM tfidf t JOIN used ON t.qid = used.qid JOIN stats s ON t.chunk_id = s.chunk_id CROSS JOIN grid LEFT JOIN near2 x ON x.qid = t.qid AND x.chunk_id = t.chunk_id AND x.win = grid.win",
     "gtop": "SELECT point, qid, chunk_id, row_number() OVER (PARTITION BY point, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM gs QUALIFY rank <= 20",
-    "gparents": "SELECT point, qid, doc_id, row_number() OVER (PARTITION BY point, qid ORDER BY min(rank)) AS rank FROM gtop JOIN chunks USING (chunk_id) GROUP BY ALL",
+    "gparents": "SELECT point, qid, doc_id, row_number() OVER (PARTITION BY point, qid ORDER BY min(rank)) AS rank FROM gtop JOIN chunks USING (chunk_id) GROUP BY point, qid, doc_id",
     "ghits": "SELECT point, qid, rank, count(*) OVER (PARTITION BY point, qid ORDER BY rank) AS h FROM gparents JOIN rels USING (qid, doc_id)",
     "gper": "SELECT point, qid, sum(1 / log2(rank + 1)) FILTER (rank <= 10) / sum(1 / log2(h + 1)) FILTER (rank <= 10) AS ndcg FROM ghits GROUP BY ALL",
 }
@@ -223,4 +223,7 @@ LEFT JOIN (SELECT term, string_agg(chunk_id, ' ' ORDER BY rnk) AS c FROM champs
     "hit_at_k": sql("SELECT round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hit10, round(avg(coalesce(1 / rank, 0)), 6) AS mrr, count(*) AS n FROM items i LEFT JOIN (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM toprox JOIN chunks USING (chunk_id) GROUP BY qid, doc_id) p ON i.qid = p.qid AND i.doc_id = p.doc_id WHERE i.doc_id IS NOT NULL"),
     "tune_proximity": sql("SELECT point::BIGINT AS point, weight, win::BIGINT AS window, eta AS prior, round(ndcg, 6) AS ndcg FROM grid JOIN (SELECT point, avg(coalesce(ndcg, 0)) AS ndcg FROM (SELECT p.point, t.qid, ndcg FROM total t CROSS JOIN (SELECT point FROM grid) p LEFT JOIN gper g ON g.point = p.point AND g.qid = t.qid) GROUP BY point) USING (point)"),
     "chunk_finance": sql(f"SELECT chunk_id, text, a::BIGINT AS sentence_start, b::BIGINT AS sentence_end, CASE WHEN fin THEN len(list_filter(string_split({_norm('text', _FIN)}, ' '), lambda x: x <> '')) ELSE {_count('text')} END::BIGINT AS tokens FROM finchunks"),
+    "excerpt": "SELECT item_id::VARCHAR AS qid, (CASE WHEN greatest(0, hit - 70) > 0 THEN '…' ELSE '' END) || trim(text[greatest(0, hit - 70) + 1 : least(length(text), hit + 70)]) || (CASE WHEN least(length(text), hit + 70) < length(text) THEN '…' ELSE '' END) AS excerpt FROM (SELECT item_id, text, coalesce(least(nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'and'), 0)) - 1, 0) AS hit FROM benchmark)",
+    "parse_citations": f"""SELECT qid, pos, text, array_to_string(CASE WHEN len(c) = 0 THEN [1] ELSE c END, ',') AS citations FROM (SELECT qid, pos, trim(regexp_replace(s, '\\s*\\[\\d+\\]', '', 'g'), {_BLANK}) AS text, list_filter(list_transform(regexp_extract_all(s, '\\[(\\d+)\\]', 1), lambda x: substring(x, 1, 18)::BIGINT), lambda x: x BETWEEN 1 AND 5) AS c
+FROM (SELECT qid, unnest(range(0, len(ss))) AS pos, unnest(ss) AS s FROM (SELECT qid, {_sents("replace(text, chr(10), ' ')")} AS ss FROM (SELECT conv_id || '/' || turn AS qid, regexp_replace(text, '([a-z])\\.', '\\1 [2][9].', 'g') AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)))) WHERE text <> ''""",
 }
