@@ -51,9 +51,15 @@ class WordTokenizer:
     Its normaliser and splitter never look across white space, so a text's ids are its words' ids in a row. New words of
     plain letters, with or without a closing point or comma, are encoded many to a call: they are split into one or two
     parts, and each part's last token carries the word-end mark, which tells where a word's ids end.
+
+    Where the tokenizer lower-cases, texts within Latin-1 are lower-cased before, which there changes single letters alone,
+    and a point or comma between a letter and white space becomes a word of its own, as the splitter would have it: fewer
+    different words are left to encode and to remember.
     """
 
     PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,]?)")
+    BEYOND = re.compile("[^\x00-\xff]")
+    CLOSING = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,6 +71,17 @@ class WordTokenizer:
             self.ends[i] = bool(mark) and token.endswith(mark)
         self.known: dict[str, bytes] = {}
         self.words = re.compile(WORD).findall
+        self.folds = self.ends.any() and self._ids("ABC É") == self._ids("abc é") and self._ids("abc.") == self._ids("abc .")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _words(self, text: str | None) -> list[str]:
+        if not isinstance(text, str):
+            return []
+        if self.folds and not self.BEYOND.search(text):
+            text = self.CLOSING.sub(r" \1", text.lower())
+        return self.words(text)
 
     def _learn(self, new: list[str]) -> None:
         plain, parts, rest = [], [], []
@@ -86,7 +103,7 @@ class WordTokenizer:
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; what is no string has none."""
-        cut = [self.words(t) if isinstance(t, str) else [] for t in texts]
+        cut = [self._words(t) for t in texts]
         known = self.known
         new = set(chain.from_iterable(cut)).difference(known)
         if len(known) + len(new) > CACHE:
