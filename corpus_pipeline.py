@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
+from tessera.llm.neardup import dedup
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import pseudonymise
 from tessera.llm.quality import quality
-from tessera.llm.simhash import dedup
 from tessera.llm.substring import dedup_substrings
 
 
@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles)."""
+    """One document of each group of near-duplicates (Jaccard similarity of 0.8 or more of five-word shingles)."""
     return dedup(docs).select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from tessera.llm import bpe, langid, lm, packing, pii, quality, simhash, substring, topk, urls  # noqa: E402
+from tessera.llm import bpe, langid, lm, neardup, packing, pii, quality, simhash, substring, topk, urls  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 97}x{i % 13}." for i in range(6000))
@@ -102,6 +102,57 @@ def test_components_of_hot_clusters(spark):
     assert got == Counter({n: c for n, c in want.items() if n > 1})
 
 
+def similar_groups(texts):
+    """texts: {id: text} -> {id: least id of its group}, by comparing all sets of five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(texts)
+    root = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and root[a] != root[b] and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def near_copies():
+    """Copies with one to seven words changed (Jaccard about 0.98 to 0.7), a common passage, chains, copies, short texts."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    common, texts = fresh(60), [None, "", "Same few", "same  few", "one two three four five six"]
+    for _ in range(12):
+        base = fresh(200) + common
+        texts.append(" ".join(base))
+        for changes in range(1, 8):
+            w = list(base)
+            for k in np.linspace(8, 190, changes).astype(int):
+                w[k] = "changed"
+            texts.append(" ".join(w))
+    base = fresh(150)
+    for k in range(60):  # one large group
+        w = list(base)
+        w[rng.integers(0, 150)] = f"edit{k}"
+        texts.append(" ".join(w))
+    return dict(enumerate(texts))
+
+
+def test_neardup(spark):
+    texts = near_copies()
+    want = similar_groups(texts)
+    assert 15 < len(set(want.values())) < len(texts) - 100
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(3, "same  few", "x")], "doc_id long, text string, extra string")
+    for frequent in (neardup.FREQUENT, 10**9):
+        neardup.FREQUENT, before = frequent, neardup.FREQUENT
+        got = neardup.dedup(df)
+        neardup.FREQUENT = before
+        assert got.columns == df.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+    assert neardup.dedup(df.limit(0)).count() == 0
+
+
 def test_langid(spark):
     en, de = "the house and the garden are with that thing ", "das haus und der garten sind mit dem ding "
     rows = [(i, (en, de)[i % 2] * 3, ("en", "de")[i % 2]) for i in range(30)] + [(98, None, "en"), (99, "1234 !!", "en")]
