@@ -6,6 +6,9 @@ separators stay where they were, a card still passes the Luhn test, a date is st
 and has no state, equal values get equal pseudonyms in every document. Emails and secrets have no numeric format to
 permute; their local part or body is replaced by a keyed digest of the same alphabet.
 
+Cards are read after all else, in what no other value took. A stretch of digit groups may hold several cards, or a card
+beside a quantity or an expiry, so every reading of a usual grouping in it is validated; failing all, the whole stretch.
+
 Defined cases: a null text stays null with counts of zero; texts without a hit are returned unchanged, byte for byte;
 an empty table gives an empty table; other columns pass through, those named like a count are replaced. A value that
 fails its validation (a 16-digit number with a wrong check digit, the 31st of February) is left alone. Nothing is shuffled.
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import let
 
-#: kind -> pattern. The alternatives are tried in this order; none spans lines.
+#: kind -> pattern. The alternatives are tried in this order, but for cards; none spans lines.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
     "secret": r"(?<=[\"'= ])(?:sk|pk|ghp|xox[abp]|AKIA)[_-]?[A-Za-z0-9_-]{16,80}(?![A-Za-z0-9])|(?<![0-9A-Za-z])(?=[0-9a-f]{0,39}[a-f])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]{0,39}[A-F])(?=[0-9A-F]{0,39}[0-9])[0-9A-F]{32,64}(?![0-9A-Za-z])",
@@ -27,10 +30,15 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    "card": r"(?<![\d.-])(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+",
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+OTHERS = tuple(k for k in KINDS if k != "card")
+ANY = "|".join(f"(?:{PATTERNS[k]})" for k in OTHERS)
+#: The groupings of card numbers, longer before shorter; each is looked for at every place.
+GROUPINGS = (r"\d{13,19}", *(rf"\d{{{first}}}([ -])" + r"\2".join(rf"\d{{{n}}}" for n in rest) for first, *rest in ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 4, 4, 1), (4, 6, 5), (4, 6, 4))))
+#: Stands for the values already replaced while cards are read.
+MARK = "\ue000"
 #: A cheap test that every hit passes: an at sign, or four characters of digits and separators.
 HINT = r"@|[0-9][0-9. ()-]{3}|[0-9a-f]{16}|[A-Za-z0-9_-]{18}"
 ROUNDS = 8
@@ -93,6 +101,20 @@ def _card(value: Column, key: str) -> Column:
     return let(_only_digits(value), lambda d: F.when((F.pmod(_luhn_sum(d), F.lit(10)) == 0) & ~d.rlike(r"^(\d)\1*$"), let(body(d), lambda x: _refill(value, x))))
 
 
+def _cards(stretch: Column, key: str) -> Column:
+    """struct(out, n): a stretch of digit groups with its cards replaced, and their number."""
+    every = F.concat(*[F.regexp_extract_all(stretch, F.lit(rf"(?<!\d)(?=({g})(?!\d))"), F.lit(1)) for g in GROUPINGS])
+    whole = F.when(F.length(_only_digits(stretch)).between(13, 19), F.array(stretch)).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.transform(F.array_distinct(F.concat(every, whole)), lambda v: F.struct(v.alias("value"), _card(v, key).alias("put"))), lambda c: c["put"].isNotNull())
+
+    def put(s, c):
+        # a reading that overlaps an earlier one is no longer there
+        once = F.regexp_replace(s["out"], F.concat(F.lit(r"(?<!\d)"), c["value"], F.lit(r"(?!\d)")), c["put"])
+        return let(once, lambda x: F.struct(x.alias("out"), (s["n"] + F.when(x == s["out"], 0).otherwise(F.regexp_count(s["out"], F.concat(F.lit(r"(?<!\d)"), c["value"], F.lit(r"(?!\d)"))))).cast("int").alias("n")))
+
+    return F.aggregate(found, F.struct(stretch.alias("out"), F.lit(0).alias("n")), put)
+
+
 def _phone(value: Column, key: str) -> Column:
     """The country code stays; the national digits are permuted."""
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=\D)", 0)
@@ -157,7 +179,7 @@ def _secret(value: Column, key: str) -> Column:
 def _kind(value: Column) -> Column:
     """The first kind whose pattern the whole hit has."""
     found = F.lit(None).cast("string")
-    for kind in reversed(KINDS):
+    for kind in reversed(OTHERS):
         bare = PATTERNS[kind].replace("(?<=[\\\"'= ])", "")
         found = F.when(value.rlike(f"^(?:{bare})$"), F.lit(kind)).otherwise(found)
     return found
@@ -166,7 +188,7 @@ def _kind(value: Column) -> Column:
 def _replaced(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a hit, null where its validation fails."""
     out = F.lit(None).cast("string")
-    for name, f in (("card", _card), ("phone", _phone), ("ip", _ip), ("ssn", _ssn), ("date", _date), ("iban", _iban), ("email", _email), ("secret", _secret)):
+    for name, f in (("phone", _phone), ("ip", _ip), ("ssn", _ssn), ("date", _date), ("iban", _iban), ("email", _email), ("secret", _secret)):
         out = F.when(kind == name, f(value, key)).otherwise(out)
     return out
 
@@ -178,20 +200,32 @@ def _count(kind: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "tessera", text: str = "text") -> DataFrame:
     """docs with text pseudonymised, and n_<kind> for each kind. key: the secret of the permutation."""
     counts = [f"n_{k}" for k in KINDS]
-    own = [c for c in docs.columns if c not in (*counts, "_hits")]
+    own = [c for c in docs.columns if c not in (*counts, "_hits", "_mark", "_left", "_cards")]
     whole = F.col(text)
     kind_of = "struct<value:string,kind:string,put:string>"
     hits = F.when(
         whole.rlike(HINT),
         F.transform(F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)), lambda v: let(_kind(v), lambda k: F.struct(v.alias("value"), k.alias("kind"), _replaced(v, k, key).alias("put")))),
     ).otherwise(F.array().cast(f"array<{kind_of}>"))
-    found = docs.select(*own, F.coalesce(hits, F.array().cast(f"array<{kind_of}>")).alias("_hits"))
-    put = F.transform("_hits", lambda h: F.coalesce(h["put"], h["value"]))
-    joined = F.array_join(F.zip_with(F.split(whole, ANY, -1), put, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
-    new = F.when(F.size("_hits") == 0, whole).otherwise(joined)
+    mark = F.when(F.contains(whole, F.lit(MARK)), F.concat(F.lit(MARK), F.sha2(whole, 256), F.lit(MARK))).otherwise(F.lit(MARK))
+    found = docs.select(*own, F.coalesce(hits, F.array().cast(f"array<{kind_of}>")).alias("_hits"), mark.alias("_mark"))
+
+    def joined(whole, pattern, put):
+        return F.array_join(F.zip_with(F.split(whole, pattern, -1), put, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
+
+    # cards are read in the text that is left when the values replaced are taken out
+    left = F.when(F.size("_hits") == 0, whole).otherwise(joined(whole, ANY, F.transform("_hits", lambda h: F.when(h["put"].isNotNull(), F.col("_mark")).otherwise(h["value"]))))
+    found = found.select("*", left.alias("_left"))
+    none = F.array().cast("array<struct<out:string,n:int>>")
+    cards = F.when(F.col("_left").rlike(PATTERNS["card"]), F.transform(F.regexp_extract_all("_left", F.lit(PATTERNS["card"]), F.lit(0)), lambda v: _cards(v, key))).otherwise(none)
+    found = found.select("*", F.coalesce(cards, none).alias("_cards"))
+    carded = F.when(F.size("_cards") == 0, F.col("_left")).otherwise(joined(F.col("_left"), PATTERNS["card"], F.transform("_cards", lambda c: c["out"])))
+    done = F.filter(F.transform("_hits", lambda h: h["put"]), lambda p: p.isNotNull())
+    new = F.when(F.size(done) == 0, carded).otherwise(joined(carded, F.col("_mark"), done))
+    n_cards = F.aggregate("_cards", F.lit(0).cast("long"), lambda t, c: t + c["n"])
     return found.select(
         *[new.alias(text) if c == text else c for c in own],
-        *[_count(k).alias(f"n_{k}") for k in KINDS],
+        *[(n_cards if k == "card" else _count(k)).alias(f"n_{k}") for k in KINDS],
     )
 
 

@@ -186,6 +186,23 @@ def test_pii(spark):
     assert some.select(pii.permuted_digits(F.col("d"), "k", "t").alias("x")).distinct().count() == 10000
 
 
+def test_pii_cards_beside_numbers(spark):
+    card, other = "4111 1111 1111 1111", "5500005555555559"
+    rows = [
+        (f"{card} 12/27", 1), (f"12 {card}", 1), (f"7536784127813051 {other}", 1), (f"{card} {other}", 2), (f"1111 {card} 3", 1), ("12-3782-822463-10005 7", 1),
+        (f"XX12 {card}", 1), (f"+1 743 555 3824 {card}", 1), (f"AB12 CDEF GHIJ KLMN OPQR {card}", 1), (f"{card} 1985-02-28 \ue000 10.0.0.1 {other}", 2),
+        ("4111 1111 1111 1112 12/27", 0), ("1 2 3 4 " * 9000, 0), (f"4111111111111111 {card}", 2),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    for i, (t, n) in enumerate(rows):
+        new = got[i].text
+        assert got[i].n_card == n and (new == t) == (n == 0) and (i == 9 or len(new) == len(t)), t
+        assert not any(x in new for x in (card, "4111111111111111", other, "3782-822463-10005")), t
+    assert got[0].text.endswith(" 12/27") and got[1].text.startswith("12 ") and got[0].text[:19] == got[1].text[3:] == got[3].text[:19]
+    assert got[9].n_date == got[9].n_ip == 1 and "\ue000" in got[9].text and "10.0.0.1" not in got[9].text
+
+
 def test_substring(docs):
     for hot in (1, 500):
         got = {(r.doc_id, r.n_words): (r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(docs, hot=hot, digest=True).collect()}
