@@ -227,3 +227,12 @@ LEFT JOIN (SELECT term, string_agg(chunk_id, ' ' ORDER BY rnk) AS c FROM champs
     "parse_citations": f"""SELECT qid, pos, text, array_to_string(CASE WHEN len(c) = 0 THEN [1] ELSE c END, ',') AS citations FROM (SELECT qid, pos, trim(regexp_replace(s, '\\s*\\[\\d+\\]', '', 'g'), {_BLANK}) AS text, list_filter(list_transform(regexp_extract_all(s, '\\[(\\d+)\\]', 1), lambda x: substring(x, 1, 18)::BIGINT), lambda x: x BETWEEN 1 AND 5) AS c
 FROM (SELECT qid, unnest(range(0, len(ss))) AS pos, unnest(ss) AS s FROM (SELECT qid, {_sents("replace(text, chr(10), ' ')")} AS ss FROM (SELECT conv_id || '/' || turn AS qid, regexp_replace(text, '([a-z])\\.', '\\1 [2][9].', 'g') AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)))) WHERE text <> ''""",
 }
+
+
+def _whole(query: str) -> str:
+    """The SQL of a query over the items' whole texts; judgements stay those of their first twelve words."""
+    heads = STEPS["rels"].replace("docs, qs WHERE contains(docs.text, qs.text)", f"docs, ({STEPS['qs']}) heads WHERE contains(docs.text, heads.text)")
+    return query.replace(STEPS["rels"], "\0").replace(STEPS["qs"], "SELECT item_id::VARCHAR AS qid, text FROM benchmark").replace("\0", heads)
+
+
+ORACLES |= {f"{name}_whole": _whole(ORACLES[name]) for name in ("search_tfidf", "search_bm25", "search_proximity", "claim_cosine", "verify_claims", "support_scores", "verdict_counts", "verifier_scores", "tune_threshold", "tune_penalty")}

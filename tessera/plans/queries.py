@@ -54,21 +54,22 @@ def index(spark: SparkSession, sf_dir: str) -> I.Index:
 
 
 @lru_cache(maxsize=16)
-def _ranked(application: str, sf_dir: str, config: SearchConfig) -> DataFrame:
+def _ranked(application: str, sf_dir: str, config: SearchConfig, whole: bool = False) -> DataFrame:
     spark = SparkSession.getActiveSession()
-    return written(S.search(index(spark, sf_dir), short_queries(spark, sf_dir), config), "ranked")
+    return written(S.search(index(spark, sf_dir), (_items if whole else short_queries)(spark, sf_dir), config), "ranked")
 
 
-def ranked(spark: SparkSession, sf_dir: str, config: SearchConfig = SearchConfig()) -> DataFrame:
-    return _ranked(spark.sparkContext.applicationId, sf_dir, config)
+def ranked(spark: SparkSession, sf_dir: str, config: SearchConfig = SearchConfig(), whole: bool = False) -> DataFrame:
+    """Searches of the items' first twelve words, or of their whole texts."""
+    return _ranked(spark.sparkContext.applicationId, sf_dir, config, whole)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c).cast("bigint").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
 
 
-def _search(**options):
-    return lambda spark, sf_dir: _rounded(ranked(spark, sf_dir, SearchConfig(**options)).select("qid", "rank", "chunk_id", "score"))
+def _search(whole: bool = False, **options):
+    return lambda spark, sf_dir: _rounded(ranked(spark, sf_dir, SearchConfig(**options), whole).select("qid", "rank", "chunk_id", "score"))
 
 
 def _chunks(strategy: str):
@@ -138,19 +139,19 @@ def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.query_metrics(docs, qrels(spark, sf_dir)))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return short_queries(spark, sf_dir).withColumnRenamed("qid", "cid")
+def claims(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return (_items if whole else short_queries)(spark, sf_dir).withColumnRenamed("qid", "cid")
 
 
-def claim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0)).filter("rank <= 5")
-    scored = V.claim_scores(index(spark, sf_dir), claims(spark, sf_dir), top.select(F.col("qid").alias("cid"), "chunk_id"))
+def claim_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0), whole).filter("rank <= 5")
+    scored = V.claim_scores(index(spark, sf_dir), claims(spark, sf_dir, whole), top.select(F.col("qid").alias("cid"), "chunk_id"))
     return _rounded(scored.select("cid", "chunk_id", "cosine", "penalty", F.array_join("novel", " ").alias("novel")))
 
 
-def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0)).filter("rank <= 5")
-    return _rounded(V.verify_claims(index(spark, sf_dir), claims(spark, sf_dir), top))
+def verify_claims(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0), whole).filter("rank <= 5")
+    return _rounded(V.verify_claims(index(spark, sf_dir), claims(spark, sf_dir, whole), top))
 
 
 def mmr_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,18 +216,18 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qrels(spark, sf_dir).select("qid", "doc_id", F.array(F.lit(0), (n % 3).cast("int")).alias("sentences"), F.when(n % 2 == 0, "SUPPORT").otherwise("CONTRADICT").alias("label"))
 
 
-def verifier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VE.items(short_queries(spark, sf_dir), evidence(spark, sf_dir))
+def verifier_items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return VE.items((_items if whole else short_queries)(spark, sf_dir), evidence(spark, sf_dir))
 
 
 @lru_cache(maxsize=4)
-def _verifier_scores(application: str, sf_dir: str) -> DataFrame:
+def _verifier_scores(application: str, sf_dir: str, whole: bool = False) -> DataFrame:
     spark = SparkSession.getActiveSession()
-    return written(VE.scores(index(spark, sf_dir), verifier_items(spark, sf_dir), ranked(spark, sf_dir)), "verifier-scores")
+    return written(VE.scores(index(spark, sf_dir), verifier_items(spark, sf_dir, whole), ranked(spark, sf_dir, whole=whole)), "verifier-scores")
 
 
-def verifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verifier_scores(spark.sparkContext.applicationId, sf_dir)
+def verifier_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _verifier_scores(spark.sparkContext.applicationId, sf_dir, whole)
 
 
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +236,8 @@ def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(VE.evidence_recall(x, verifier_items(spark, sf_dir), evidence(spark, sf_dir), top, said))
 
 
-def support_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = claim_scores(spark, sf_dir)
+def support_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    scored = claim_scores(spark, sf_dir, whole)
     return _rounded(scored.select("cid", "chunk_id", *[V.support(F.col("cosine"), F.col("penalty"), 0.6, f).alias(f) for f in ("mul", "sub")]))
 
 
@@ -343,3 +344,17 @@ QUERIES = {
     "ablation": lambda s, d: _rounded(TU.ablation(corpus(s, d), short_queries(s, d), qrels(s, d))),
     "chunk_ablation": lambda s, d: _rounded(TU.chunk_ablation(corpus(s, d), short_queries(s, d), qrels(s, d))),
 }
+#: The same over the items' whole texts; only the judgements (qrels) stay those of the first twelve words.
+QUERIES |= {
+    "search_tfidf_whole": _search(True, proximity_weight=0.0),
+    "search_bm25_whole": _search(True, method="bm25", proximity_weight=0.0),
+    "search_proximity_whole": _search(True),
+    "claim_cosine_whole": lambda s, d: claim_scores(s, d, True),
+    "verify_claims_whole": lambda s, d: verify_claims(s, d, True),
+    "support_scores_whole": lambda s, d: support_scores(s, d, True),
+    "verdict_counts_whole": lambda s, d: V.verdict_counts(verify_claims(s, d, True)),
+    "verifier_scores_whole": lambda s, d: _rounded(verifier_scores(s, d, True).select("qid", "doc_id", "label", "cosine", "penalty", "jaccard")),
+    "tune_threshold_whole": lambda s, d: _rounded(E.best_threshold(E.threshold_sweep(verifier_scores(s, d, True), "cosine"))),
+    "tune_penalty_whole": lambda s, d: _rounded(VE.best_penalty(VE.penalty_grid(verifier_scores(s, d, True)))),
+    "eval_verifier_whole": lambda s, d: _rounded(VE.report(verifier_scores(s, d, True), E.split_qids(_items(s, d).select("qid")))),
+}

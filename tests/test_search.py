@@ -129,3 +129,27 @@ def test_holding(spark):
 
 def test_trace(index):
     assert [(r.node, r.n) for r in B.trace(index, '"cold rivers" AND title:fox').orderBy("step").collect()] == [('"cold rivers"', 2), ("title:fox", 1), ('"cold rivers" AND title:fox', 1)]
+
+
+def test_whole_claims(spark):
+    """Claims and searches of whole items against SQL: words after the twelfth count."""
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.plans.oracles import ORACLES
+    from tessera.plans.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{sf_dir}/{table}.parquet'")
+    for name in ("search_tfidf_whole", "claim_cosine_whole", "verify_claims_whole", "verifier_scores_whole", "tune_penalty_whole"):
+        got = QUERIES[name](spark, sf_dir)
+        want = con.execute(ORACLES[name])
+        columns = [c[0] for c in want.description]
+        rows = lambda found: sorted([[round(float(x), 5) if isinstance(x, float) else str(x) for x in r] for r in found], key=str)
+        a, b = rows(got.select(*columns).collect()), rows(want.fetchall())
+        assert len(a) == len(b) > 0, name
+        for x, y in zip(a, b, strict=True):
+            assert x == pytest.approx(y, abs=2e-5) if all(isinstance(v, float) for v in x) else [str(v) for v in x] == [str(v) for v in y], name
+    late = {(r.qid, w) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id qid", "split(text, ' ') w").collect() for w in r.w[12:]}
+    novel = lambda name: sum(len(r.novel.split()) for r in QUERIES[name](spark, sf_dir).collect())
+    assert late and novel("claim_cosine_whole") > novel("claim_cosine")
