@@ -27,6 +27,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name of the operator's own for each of names, none of which df has (whatever its case)."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while any(prefix + n.lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """The columns of df, quoted, but for those that a result column replaces (names differ by more than case)."""
+    gone = {c.lower() for c in replaced}
+    return [quoted(c) for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 _memories: dict[str, object] = {}
 
 

@@ -4,9 +4,10 @@ Each line is judged by itself: lines of navigation, boilerplate or symbols, and
 are removed. A document that loses too large a share of its characters this way is rejected, as is one that fails the
 base rules (too few words, or mostly repeated three-word windows).
 
-Defined cases: a null text counts as empty; an empty text has no words and fails the base rules; texts of any length are
-judged whole; repeated rows are judged each by itself; an empty table gives an empty table; every input column is kept
-(those named like a result column are replaced). Nothing is shuffled.
+Defined cases: a null text counts as empty; an empty text has no words and fails the base rules; texts and lines of any
+length are judged whole (the menu pattern repeats possessively, so its matching needs no stack however long the line);
+repeated rows are judged each by itself; an empty table gives an empty table; every input column is kept, but for those
+named like a result column, which the result replaces. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, let, words_of
+from tessera.llm.common import SPACE, fresh, let, others, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate, whatever its language.
@@ -25,10 +26,10 @@ BOILERPLATE = (
     r"|enable javascript|copyright \(c\)|powered by wordpress|lorem ipsum|click here to|sign up for our newsletter"
     r"|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados"
 )
-#: Words that make up menu lines.
+#: Words that make up menu lines; of two that begin alike the longer comes first, as a match is never taken back.
 NAVIGATION = (
-    r"home|menu|login|log in|log out|sign in|sign up|register|search|next|previous|prev|back|top|share|print|contact"
-    r"|contact us|about|about us|sitemap|help|faq|subscribe|read more|more|skip to content|archive|categories|tags"
+    r"home|menu|login|log in|log out|sign in|sign up|register|search|next|previous|prev|back|top|share|print|contact us"
+    r"|contact|about us|about|sitemap|help|faq|subscribe|read more|more|skip to content|archive|categories|tags"
 )
 
 
@@ -77,7 +78,7 @@ def _count(text: Column, characters: str) -> Column:
 def _line_fails(line: Column, rules: QualityRules) -> Column:
     def judge(x):
         boilerplate = (F.length(x) <= rules.max_chars_boilerplate) & x.rlike(f"(?iu){BOILERPLATE}")
-        navigation = (_count(x, "|»›•·") * 100 > F.length(x) * rules.max_separators_percent) | x.rlike(f"(?i)^(?:(?:{NAVIGATION})(?:[\\s|/>»›•·-]+|$))+$")
+        navigation = (_count(x, "|»›•·") * 100 > F.length(x) * rules.max_separators_percent) | x.rlike(f"(?i)^(?:(?:{NAVIGATION})(?:[\\s|/>»›•·-]++|$))++$")
         unmarked = (F.length(x) < rules.min_chars_unmarked) & ~x.rlike(r"[.!?…。！？؟।:;]")
         noisy = _count(x, SYMBOLS) * 100 > F.length(x) * rules.max_symbol_percent
         return boilerplate | navigation | unmarked | noisy
@@ -88,31 +89,32 @@ def _line_fails(line: Column, rules: QualityRules) -> Column:
 def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """docs with the base counts, base_failed, kept, the cleaned text (clean_text), and what the line rules removed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    added = ["_words", "_full", "_good", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_removed", "lost_percent", "base_failed", "kept", "clean_text"]
-    own = [c for c in docs.columns if c not in added]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_removed", "lost_percent", "base_failed", "kept", "clean_text"]
+    own = others(docs, *added)
+    words, full, good = fresh(docs, "words", "full", "good")
     counted = docs.select(
         *own,
-        words_of(F.col("text")).alias("_words"),
-        F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_full"),
+        words_of(F.col("text")).alias(words),
+        F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias(full),
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
     judged = counted.select(
-        *own, "n_symbols", "_full",
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.size("_words").cast("long").alias("n_words"),
-        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_words")).alias("n_repeat_words"),
-        F.filter("_full", lambda x: ~_line_fails(x, rules)).alias("_good"),
+        *own, "n_symbols", full,
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.size(words).cast("long").alias("n_words"),
+        (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(words)).alias("n_repeat_words"),
+        F.filter(full, lambda x: ~_line_fails(x, rules)).alias(good),
     )
-    clean = F.array_join("_good", "\n")
+    clean = F.array_join(good, "\n")
     left = F.length(F.translate(clean, SPACE, ""))
-    whole = F.size("_full") == F.size("_good")
+    whole = F.size(full) == F.size(good)
     lost = F.when(whole, F.lit(0.0)).otherwise((F.col("word_chars") - left) * 100.0 / F.col("word_chars"))
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     return judged.select(
         *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.size("_full").cast("long").alias("n_lines"),
-        (F.size("_full") - F.size("_good")).cast("long").alias("n_lines_removed"),
+        F.size(full).cast("long").alias("n_lines"),
+        (F.size(full) - F.size(good)).cast("long").alias("n_lines_removed"),
         lost.alias("lost_percent"),
         failed.alias("base_failed"),
         clean.alias("clean_text"),
