@@ -9,24 +9,36 @@ permute; their local part or body is replaced by a keyed digest of the same alph
 Cards are read after all else, in what no other value took. A stretch of digit groups may hold several cards, or a card
 beside a quantity or an expiry, so every reading of a usual grouping in it is validated; failing all, the whole stretch.
 
-Defined cases: a null text stays null with counts of zero; texts without a hit are returned unchanged, byte for byte;
-an empty table gives an empty table; other columns pass through, those named like a count are replaced. A value that
-fails its validation (a 16-digit number with a wrong check digit, the 31st of February) is left alone. Nothing is shuffled.
+Dates are read as year-month-day, day-month-year or, where that is no date, month-day-year, with -, / or . between; one day
+in two formats gets one pseudonym in two formats. The key has no default: whoever has it can undo the permutation.
+
+Defined cases: a null text stays null with counts of zero; texts without a hit are returned unchanged, byte for byte; values
+and texts may be of any length; repeated rows get equal results; an empty table gives an empty table; other columns pass
+through, but for those named like a count, which the counts replace. A value that fails its validation (a 16-digit number
+with a wrong check digit, the 31st of February) is left alone. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let
+from tessera.llm.common import fresh, let, others, quoted
 
+#: The session setting that holds the key of the registered query and of the pipeline (Spark redacts "secret" in its pages).
+KEY = "spark.tessera.pii.secret"
+_DAY = r"(?:0[1-9]|[12]\d|3[01]|[1-9])"
+_YEAR = r"(?:18|19|20|21)\d\d"
+_DATES = "|".join(rf"{_YEAR}{s}(?:0[1-9]|1[0-2]){s}(?:0[1-9]|[12]\d|3[01])|{_DAY}{s}{_DAY}{s}{_YEAR}" for s in ("-", "/", r"\."))
 #: kind -> pattern. The alternatives are tried in this order, but for cards; none spans lines.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
-    "secret": r"(?<=[\"'= ])(?:sk|pk|ghp|xox[abp]|AKIA)[_-]?[A-Za-z0-9_-]{16,80}(?![A-Za-z0-9])|(?<![0-9A-Za-z])(?=[0-9a-f]{0,39}[a-f])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]{0,39}[A-F])(?=[0-9A-F]{0,39}[0-9])[0-9A-F]{32,64}(?![0-9A-Za-z])",
+    "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": r"(?<![A-Za-z0-9_-])(?:(?:sk|pk|rk|ghp|gho|ghs|xox[abprs])(?:[_-]|(?=[A-Za-z0-9_-]*[0-9]))[A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{12,}+(?![a-z]))"
+    r"|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}+(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,}+(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "date": r"(?<![\d.-])(?:18|19|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d.-]*\d)",
+    "date": rf"(?<![\d./-])(?:{_DATES})(?![\d./-]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
@@ -40,7 +52,7 @@ GROUPINGS = (r"\d{13,19}", *(rf"\d{{{first}}}([ -])" + r"\2".join(rf"\d{{{n}}}"
 #: Stands for the values already replaced while cards are read.
 MARK = "\ue000"
 #: A cheap test that every hit passes: an at sign, or four characters of digits and separators.
-HINT = r"@|[0-9][0-9. ()-]{3}|[0-9a-f]{16}|[A-Za-z0-9_-]{18}"
+HINT = r"@|[0-9][0-9. ()-]{3}|[0-9a-f]{16}|AKIA|[A-Za-z0-9_-]{18}"
 ROUNDS = 8
 
 
@@ -142,11 +154,20 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """Days of 1800-2199, one whole cycle of the calendar: 146,097 = 189 * 773 days."""
+    """Days of 1800-2199, one whole cycle of the calendar: 146,097 = 189 * 773 days. A pseudonym keeps its value's format."""
     first = F.lit("1800-01-01").cast("date")
-    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), first)
-    done = _feistel(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), key, "date")
-    return F.when(day.isNotNull(), let(done, lambda s: F.date_format(F.date_add(first, (s["a"] * 773 + s["b"]).cast("int")), "yyyy-MM-dd")))
+
+    def moved(day):
+        return let(_feistel(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), key, "date"), lambda s: F.date_add(first, (s["a"] * 773 + s["b"]).cast("int")))
+
+    out = F.lit(None).cast("string")
+    for sep in ("-", "/", "."):
+        padded, short = F.length(value) == 10, F.length(value) < 10
+        forms = [(padded, f"yyyy{sep}MM{sep}dd"), (padded, f"dd{sep}MM{sep}yyyy"), (padded, f"MM{sep}dd{sep}yyyy"), (short, f"d{sep}M{sep}yyyy"), (short, f"M{sep}d{sep}yyyy")]
+        for fits, form in reversed(forms):
+            day = F.when(fits & F.contains(value, F.lit(sep)), F.datediff(F.try_to_date(value, form), first))
+            out = F.when(day.isNotNull(), F.date_format(moved(day), form)).otherwise(out)
+    return out
 
 
 def _mod97(value: Column) -> Column:
@@ -173,15 +194,16 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    return F.substring(F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret{i}"), value), 256) for i in range(2)]), F.lit(1), F.length(value))
+    """As long as the value; beyond 128 characters the digest goes round."""
+    digest = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret{i}"), value), 256) for i in range(2)])
+    return let(digest, lambda d: F.rpad(d, F.length(value), d))
 
 
 def _kind(value: Column) -> Column:
     """The first kind whose pattern the whole hit has."""
     found = F.lit(None).cast("string")
     for kind in reversed(OTHERS):
-        bare = PATTERNS[kind].replace("(?<=[\\\"'= ])", "")
-        found = F.when(value.rlike(f"^(?:{bare})$"), F.lit(kind)).otherwise(found)
+        found = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(found)
     return found
 
 
@@ -193,42 +215,51 @@ def _replaced(value: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("_hits", lambda h: (h["kind"] == kind) & h["put"].isNotNull())).cast("long")
+def key_of(spark: SparkSession) -> str:
+    """The session's key; where none is set, a random one for the life of the session, so nothing can be undone later."""
+    found = spark.conf.get(KEY, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY, found)
+    return found
 
 
-def pseudonymise(docs: DataFrame, key: str = "tessera", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with text pseudonymised, and n_<kind> for each kind. key: the secret of the permutation."""
-    counts = [f"n_{k}" for k in KINDS]
-    own = [c for c in docs.columns if c not in (*counts, "_hits", "_mark", "_left", "_cards")]
-    whole = F.col(text)
-    kind_of = "struct<value:string,kind:string,put:string>"
-    hits = F.when(
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    own = others(docs, *[f"n_{k}" for k in KINDS])
+    hits, mark, left, cards = fresh(docs, "hits", "mark", "left", "cards")
+    whole = F.col(quoted(text))
+    none = F.array().cast("array<struct<value:string,kind:string,put:string>>")
+    read = F.when(
         whole.rlike(HINT),
         F.transform(F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)), lambda v: let(_kind(v), lambda k: F.struct(v.alias("value"), k.alias("kind"), _replaced(v, k, key).alias("put")))),
-    ).otherwise(F.array().cast(f"array<{kind_of}>"))
-    mark = F.when(F.contains(whole, F.lit(MARK)), F.concat(F.lit(MARK), F.sha2(whole, 256), F.lit(MARK))).otherwise(F.lit(MARK))
-    found = docs.select(*own, F.coalesce(hits, F.array().cast(f"array<{kind_of}>")).alias("_hits"), mark.alias("_mark"))
+    ).otherwise(none)
+    marked = F.when(F.contains(whole, F.lit(MARK)), F.concat(F.lit(MARK), F.sha2(whole, 256), F.lit(MARK))).otherwise(F.lit(MARK))
+    found = docs.select(*own, F.coalesce(read, none).alias(hits), marked.alias(mark))
 
     def joined(whole, pattern, put):
         return F.array_join(F.zip_with(F.split(whole, pattern, -1), put, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
 
     # cards are read in the text that is left when the values replaced are taken out
-    left = F.when(F.size("_hits") == 0, whole).otherwise(joined(whole, ANY, F.transform("_hits", lambda h: F.when(h["put"].isNotNull(), F.col("_mark")).otherwise(h["value"]))))
-    found = found.select("*", left.alias("_left"))
+    rest = F.when(F.size(hits) == 0, whole).otherwise(joined(whole, ANY, F.transform(hits, lambda h: F.when(h["put"].isNotNull(), F.col(mark)).otherwise(h["value"]))))
+    found = found.select("*", rest.alias(left))
     none = F.array().cast("array<struct<out:string,n:int>>")
-    cards = F.when(F.col("_left").rlike(PATTERNS["card"]), F.transform(F.regexp_extract_all("_left", F.lit(PATTERNS["card"]), F.lit(0)), lambda v: _cards(v, key))).otherwise(none)
-    found = found.select("*", F.coalesce(cards, none).alias("_cards"))
-    carded = F.when(F.size("_cards") == 0, F.col("_left")).otherwise(joined(F.col("_left"), PATTERNS["card"], F.transform("_cards", lambda c: c["out"])))
-    done = F.filter(F.transform("_hits", lambda h: h["put"]), lambda p: p.isNotNull())
-    new = F.when(F.size(done) == 0, carded).otherwise(joined(carded, F.col("_mark"), done))
-    n_cards = F.aggregate("_cards", F.lit(0).cast("long"), lambda t, c: t + c["n"])
-    return found.select(
-        *[new.alias(text) if c == text else c for c in own],
-        *[(n_cards if k == "card" else _count(k)).alias(f"n_{k}") for k in KINDS],
-    )
+    read = F.when(F.col(left).rlike(PATTERNS["card"]), F.transform(F.regexp_extract_all(left, F.lit(PATTERNS["card"]), F.lit(0)), lambda v: _cards(v, key))).otherwise(none)
+    found = found.select("*", F.coalesce(read, none).alias(cards))
+    carded = F.when(F.size(cards) == 0, F.col(left)).otherwise(joined(F.col(left), PATTERNS["card"], F.transform(cards, lambda c: c["out"])))
+    done = F.filter(F.transform(hits, lambda h: h["put"]), lambda p: p.isNotNull())
+    new = F.when(F.size(done) == 0, carded).otherwise(joined(carded, F.col(mark), done))
+
+    def count(kind):
+        if kind == "card":
+            return F.aggregate(cards, F.lit(0).cast("long"), lambda t, c: t + c["n"])
+        return F.size(F.filter(hits, lambda h: (h["kind"] == kind) & h["put"].isNotNull())).cast("long")
+
+    return found.select(*[new.alias(text) if c == quoted(text) else c for c in own], *[count(k).alias(f"n_{k}") for k in KINDS])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs)
+    return pseudonymise(docs, key_of(spark))
