@@ -2,33 +2,45 @@
 
 Each stage reads what the one before kept (as Parquet) and returns the columns of documents, but for the last, which
 returns the packed pieces.
+
+Defined cases, in every stage: null and empty texts, repeated rows, empty tables and texts of any length as the stage's
+operator defines them; other columns pass through unchanged, whatever their names, as they travel in one struct (n_chars, if
+there, follows the text); the last stage takes doc_id and text alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 from tessera.llm.neardup import dedup
 from tessera.llm.packing import pack_documents
-from tessera.llm.pii import pseudonymise
+from tessera.llm.pii import key_of, pseudonymise
 from tessera.llm.quality import quality
 from tessera.llm.substring import dedup_substrings
 
 
-def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """changed with the columns of docs; n_chars follows the text where there is one."""
-    out = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
-    return out.select(*docs.columns)
+def _boxed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with the whole row as doc: no column of docs can meet a name of an operator's."""
+    return docs.select("doc_id", "text", F.struct("*").alias("doc"))
+
+
+def _unboxed(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of docs from doc, with a new text; n_chars follows it."""
+
+    def column(c: str, kind) -> Column:
+        new = {"text": text, "n_chars": F.length(text)}.get(c)
+        return (F.col("doc").getField(c) if new is None else new.cast(kind)).alias(c)
+
+    return [column(f.name, f.dataType) for f in docs.schema]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that fail."""
-    columns = [F.col("clean_text").alias(c) if c == "text" else F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    """Documents that pass, without the lines that fail; null and empty texts fail."""
     # a filter would be pushed below the rules, which Spark then writes out again for each use; a generator stays above
-    passed = F.explode(F.when(F.col("kept"), F.array(F.struct(*columns))))
-    return quality(docs).select(passed.alias("d")).select("d.*")
+    passed = F.explode(F.when(F.col("kept"), F.array(F.struct(*_unboxed(docs, F.col("clean_text"))))))
+    return quality(_boxed(docs)).select(passed.alias("d")).select("d.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +50,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; one of which nothing is left stays, empty."""
-    return _as_documents(dedup_substrings(docs), docs)
+    return dedup_substrings(_boxed(docs)).select(*_unboxed(docs, F.col("text")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _as_documents(pseudonymise(docs), docs)
+    """Documents with pseudonyms for personal data, under the session's key."""
+    return pseudonymise(_boxed(docs), key_of(spark)).select(*_unboxed(docs, F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
