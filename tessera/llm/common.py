@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; words are the runs between it.
 SPACE = " \t\n\x0b\x0c\r"
+#: Spark's setting that a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,11 +76,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # what the write shuffled is of no use once the table stands
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
