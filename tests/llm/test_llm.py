@@ -5,8 +5,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from unittest import mock
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from tessera.llm import bpe, langid, lm, neardup, packing, pii, quality, simhash, substring, topk, urls  # noqa: E402
 
+LOWER = {c: c + 32 for c in range(65, 91)}
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 97}x{i % 13}." for i in range(6000))
 PASSAGE = " ".join(f"passage{i}" for i in range(50))
@@ -82,7 +85,6 @@ def test_simhash(docs):
         while more := {j for j in fps for k in group if (fps[j] ^ fps[k]).bit_count() <= 4} - group:
             group |= more
         assert got[i, simhash._signed(fp)] == min(group)
-    assert simhash.dedup(docs).columns == docs.columns
 
 
 def test_components_of_hot_clusters(spark):
@@ -242,19 +244,65 @@ def test_bpe(docs):
     assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(out, path, P.PATTERN).collect()}[5] == LONG.encode()
 
 
-def test_lm(docs):
-    held = F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False))
-    got = {r.doc_id: r for r in lm.score(docs.filter("doc_id <> 3"), held, block_bytes=5000).collect()}
-    toks = {i: words((t or "").lower()) + ["</s>"] for i, t in enumerate(TEXTS) if i != 3}
-    train = [w for i, w in toks.items() if i % 3 != 1]
-    c1, c2 = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["<s>", *w], w, strict=False))
-    n, v = sum(c1.values()), len(c1)
-    base = lambda x: (c1[x] + 0.5) / (n + 0.5 * (v + 1))
+@pytest.mark.parametrize("order,block,part", [(2, 5000, 2000), (3, 5000, 2000), (3, 10**7, 10**7), (4, 500, 300)])
+def test_lm(spark, order, block, part):
+    """Against the smoothed probabilities worked out by recursion; ids beside nulls stay whole."""
+    rng = np.random.default_rng(0)
+    few = ["the", "cat", "Sat", "on", "mat", "Ünï"]
+    texts = [*TEXTS, *[" ".join(rng.choice(few, rng.integers(1, 30))) for _ in range(30)], " ".join(rng.choice(few, 1500))]
+    texts += texts[20:22] * 2
+    rows = [(i + 2**60 + 1, t, "x", 1) for i, t in enumerate(texts)] + [(None, "the cat", "x", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, block int").repartition(3)
+    got = {r.doc_id: r for r in lm.score(df, F.col("doc_id") % 3 == 1, order, block, part).collect()}
+    assert set(got) == {r[0] for r in rows}
+    toks = {i: (t or "").translate(LOWER).split() + ["</s>"] for i, t, *_ in rows}
+    train = [w for i, w in toks.items() if i is None or i % 3 != 1]
+    c: Counter = Counter({("<s>",): len(train)})
+    for w in train:
+        c.update((x,) for x in w)
+        for k in range(2, order + 1):
+            c.update(zip(*[["<s>", *w][j:] for j in range(k)], strict=False))
+    n, v = sum(map(len, train)), len({x for w in train for x in w})
+
+    def p(history, x):
+        if not history:
+            return (c[(x,)] + 0.5) / (n + 0.5 * (v + 1))
+        return (c[(*history, x)] + lm.MASS * p(history[1:], x)) / (c[history] + lm.MASS)
+
     for i, w in toks.items():
-        assert got[i].n_tokens == len(w) and got[i].n_known == sum(c1[x] > 0 for x in w) and got[i].train_tokens == n
-        assert got[i].base_score == pytest.approx(sum(math.log10(base(x)) for x in w))
-        ctx = [len(train) if h == "<s>" else c1[h] for h in ["<s>", *w]]
-        assert got[i].score == pytest.approx(sum(math.log10((c2[h, x] + 2 * base(x)) / (c + 2)) if c else math.log10(base(x)) for h, x, c in zip(["<s>", *w], w, ctx, strict=False)))
+        whole, r = ["<s>", *w], got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[(x,)] > 0 for x in w), n, i is not None and i % 3 == 1)
+        assert r.base_score == pytest.approx(sum(math.log10(p((), x)) for x in w))
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(whole[max(0, k - order + 1) : k]), whole[k])) for k in range(1, len(whole))))
+
+
+def test_lm_states(spark):
+    """Each state's probabilities sum to one over all tokens and the unknown one, arcs and failure arcs taken as they lie."""
+    rows = [(b"a b a c", False), (b"b a b", False), (b"zz a", True)]
+    frame = pd.DataFrame({"id": list("012"), "text": [t.decode() for t, _ in rows], "held_out": [h for _, h in rows]})
+    with mock.patch.object(lm, "TaskContext") as context:
+        context.get.return_value.partitionId.return_value = 0
+        docs = next(lm._cut(10**6)(iter([frame])))
+    known = next(lm._ask_words(1)(iter([docs])))
+    answers, parts = lm._answer_words(1)(known), {1: 1}
+    for level in (2, 3):
+        asked = lm._ask_grams(level, 3, dict(parts), 1, 2)(docs, answers)
+        answers = pd.concat([answers, lm._answer_grams(level, level == 3)(asked)])
+        parts[level] = 1
+    block = lm._informed(docs, answers, 3, parts, 2)
+    auto = lm.Automaton(block, 9, 4, 2, 2.0)
+    at = {(int(h), int(w)): g for g, (h, w) in enumerate(zip(block.history[2], block.word[2], strict=True))}
+    known_words = np.flatnonzero(block.count[1] > 0)
+    unknown = 0.5 / (9 + 0.5 * 5)
+    for h in [*np.flatnonzero((block.count[1] > 0) & (np.arange(block.vocabulary) > 0)), block.vocabulary]:
+        state, total = 1 + h, 0.0
+        for w in known_words:
+            g = at.get((h, w))
+            total += 10 ** auto.weight[2][g] if g is not None and auto.has[2][g] else 10 ** (auto.fail[state] + auto.weight[1][w])
+        assert total + 10 ** auto.fail[state] * unknown == pytest.approx(1)
+    real = auto.level > 0  # grams that training lacks are no states
+    assert (auto.level[auto.shorter[real]] < auto.level[real]).all() and (auto.fail[real] < 0).all()
+    assert lm.score(spark.createDataFrame([], "doc_id long, text string"), F.lit(False)).count() == 0
 
 
 def test_quality(docs):
