@@ -91,6 +91,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys() -> list[Column]:
+    """Two longs that tell rows of one id and text from all others: a hash of the id, which for whole numbers is one to one, and
+    one of both. Rows of different ids are never taken for each other by the second alone."""
+    return [F.xxhash64(F.col("doc_id"), F.lit(1)), F.xxhash64("doc_id", "text")]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, dealt anew only if its scan has fewer (one small file)."""
     spark = df.sparkSession

@@ -1,22 +1,26 @@
 """Near-duplicates of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-All such pairs are found, and no others: the components of exactly those links are the groups. Shingles stand as 64-bit
-hashes. Documents with one set of shingles are one from the start, so copies cost nothing further.
+All such pairs are found, and no others: the components of exactly those links are the groups. Documents with one set of
+shingles are one from the start, so copies cost nothing further. Shingles stand as 64-bit hashes.
 
-Candidates come from prefix filtering. Two sets of similarity 0.8 share at least 0.8 of either, so under any one order of
-all shingles their prefixes (a fifth of each set and one more) meet in a shingle. Shingles that are frequent in a sample come
-last in the order: that thins the candidates of common passages and, as any order will do, loses none.
+SimHash comes first: sets of one fingerprint, and those that the pivot tables of operator 3 link, are candidates, and every
+candidate pair is held against the whole sets. That joins the great groups of copies at little cost. But 64 bits cannot see all
+the rest: at a similarity of 0.8 two fingerprints differ in up to 14 bits, where neither bands nor pivots tell pairs from
+chance. So what is still apart goes through prefix filtering: two sets of similarity 0.8 share at least 0.8 of either, so under
+any one order of all shingles their prefixes (a fifth of each set and one more) meet in a shingle. Shingles that are frequent in
+a sample come last in the order: that thins the candidates of common passages and, as any order will do, loses none.
 
 Candidates pass a sketch first: how many shingles fall into each of 256 buckets. Sets differ in at least as many shingles as
 these counts differ, so what the sketches discard is below 0.8 for certain. The rest is compared by whole sets, which only
 candidates' texts are read for again.
 
-Large groups are not paired out. Two rounds link the members of a key to one leader each (the member that meets most others,
-then one by hash), every link held against the whole sets, and what they connect needs no comparison any more; the last
-round compares all pairs of a key that are still apart.
+Large groups are not paired out. Only shingles at which sets of different groups meet are looked at. Two rounds link the members
+of such a key to one leader each (the member that meets most others, then one by hash), every link held against the whole sets,
+and what they connect needs no comparison any more; the last round compares all pairs of a key that are still apart.
 
 Defined cases: shingles are of ASCII-lowered words, a shorter text is one shingle; null and blank texts have the empty set
-and form one group; rows with a null id take part; of repeated rows one stays; an empty table gives an empty table.
+and form one group; texts of any length are read whole; rows with a null id take part; of repeated rows one stays; an empty
+table gives an empty table; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,28 +33,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import memory, spread, written
-from tessera.llm.simhash import SEED, components
+from tessera.llm.common import fresh, memory, row_keys, spread, written
+from tessera.llm.simhash import SEED, components, fingerprint_of, links, shingle_hashes
 
 #: The similarity is NUM / DEN.
 NUM, DEN = 4, 5
 SHINGLE = 5
 #: A shingle is frequent from FREQUENT documents of a sample of SAMPLE on; MOST such are sent to the workers. They only set the order.
 SAMPLE, FREQUENT, MOST = 5_000, 4, 1_000_000
+#: Members of a group at one key that are held together.
+CHUNK = 512
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct shingle hashes of a whole text, sorted as signed longs."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    size = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
 def prefix_length(n: int) -> int:
@@ -64,7 +61,8 @@ def similar(common: Column, n: Column, m: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return spread(docs.select("doc_id", "text")).withColumn("_key", F.xxhash64("doc_id", "text"))
+    k1, k2 = row_keys()
+    return docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -86,32 +84,35 @@ def _sid(h: np.ndarray) -> int:
 
 
 def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("_key"))
-    some = rows.filter(F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    rows = _keyed(docs)
+    some = rows.filter(F.pmod(F.xxhash64("k1", "k2", F.lit(5)), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     counts = _sets(some, shingle).select(F.explode("h").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
     found = counts.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "x").limit(MOST).select("x").toPandas()
     return np.sort(found["x"].to_numpy(np.int64))
 
 
-def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, _key (of the row), sid, n, sketch and keys (the prefix of the set) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
+def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, k1 and k2 (of the row), sid, n, fp (fingerprint), sketch and keys (the prefix of the set) of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))  # at most MOST numbers
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory()
         last = sent.value
         for f in frames:
-            sids, sizes, sketches, keys = [], [], [], []
+            out: dict[str, list] = {c: [] for c in ("sid", "n", "fp", "sketch", "keys")}
             for x in f["text"]:
-                h = shingles(x if isinstance(x, str) else None, shingle)
+                every = shingle_hashes(x if isinstance(x, str) else None, shingle)
+                h = np.unique(every.view(np.int64))
                 late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
-                sids.append(_sid(h))
-                sizes.append(len(h))
-                sketches.append(np.minimum(np.bincount(h & 255, minlength=256), 255).astype(np.uint8).tobytes())
-                keys.append(np.concatenate([h[~late], h[late]])[: prefix_length(len(h))])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "_key": f["_key"], "sid": sids, "n": sizes, "sketch": sketches, "keys": keys})
+                out["sid"].append(_sid(h))
+                out["n"].append(len(h))
+                out["fp"].append(fingerprint_of(every))
+                out["sketch"].append(np.minimum(np.bincount(h & 255, minlength=256), 255).astype(np.uint8).tobytes())
+                out["keys"].append(np.concatenate([h[~late], h[late]])[: prefix_length(len(h))])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "k1": f["k1"], "k2": f["k2"], **out, "fp": np.array(out["fp"], np.uint64).view(np.int64)})
 
-    return _keyed(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _key long, sid long, n long, sketch binary, keys array<long>")
+    rows = spread(_keyed(docs))
+    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, sid long, n long, fp long, sketch binary, keys array<long>")
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -137,8 +138,8 @@ def _checked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
     """Of the pairs (u, v), those whose whole sets are similar enough."""
     pairs = written(_sketched(pairs, distinct), "pairs")
     need = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-    keys = distinct.join(need, "sid", "left_semi").select(F.col("rep._key").alias("_key"))
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("_key")).join(keys, "_key", "left_semi").dropDuplicates(["_key"])
+    rows = distinct.join(need, "sid", "left_semi").select("rep.k1", "rep.k2")
+    texts = _keyed(docs).join(rows, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     held = written(_sets(spread(texts), shingle), "held")
     u, v = (held.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "uv")
     both = pairs.join(v, "v").join(u, "u")
@@ -147,28 +148,39 @@ def _checked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """sid, rep (of the row of least id), root of every distinct set; one root is one group."""
-    found = written(_prefixes(docs, shingle), "prefixes")
-    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    distinct = written(found.groupBy("sid").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "distinct")
-    keys = found.select("sid", F.explode("keys").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).filter("a < b").select("key"), "shared")
-    met = written(keys.join(shared, "key").distinct(), "met")
-    others = met.groupBy("key").agg(F.count("*").alias("others"))
-    central = met.join(others, "key").groupBy("sid").agg(F.sum("others").alias("central")).join(distinct.select("sid", "n"), "sid")
-    met = written(met.join(central, "sid").select("key", "sid", "n", "central"), "met")
-
-    labelled, edges = met.withColumn("label", F.col("sid")), None
+    found = written(_profiles(docs, shingle), "profiles")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    distinct = written(found.groupBy("sid").agg(F.min(rep).alias("rep"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")]), "distinct")
+
+    # sets of one fingerprint, and of linked ones
+    heads = written(distinct.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("head")), "heads")
+    same = distinct.join(heads, "fp").filter((F.col("sid") != F.col("head.sid")) & _close(F.col("n"), F.col("head.n"))).select(F.col("head.sid").alias("u"), F.col("sid").alias("v"))
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "uv")
+    near = links(heads.select("fp")).join(a, "u").join(b, "v").filter(_close(F.col("hu.n"), F.col("hv.n"))).select(F.col("hu.sid").alias("u"), F.col("hv.sid").alias("v"))
+    edges = _checked(same.unionByName(near), docs, distinct, shingle)
+    named = written(components(edges), "components")
+
+    # the shingles at which sets that are still apart meet
+    labels = distinct.join(named, distinct["sid"] == named["node"], "left").select("sid", "n", "keys", F.coalesce("root", "sid").alias("label"))
+    keyed = written(labels.select("sid", "n", "label", F.explode("keys").alias("key")), "keys")
+    mixed = written(keyed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("others")).filter("least < most").select("key", "others"), "mixed")
+    met = written(keyed.join(mixed, "key"), "met")
+    central = met.groupBy("sid").agg(F.sum("others").alias("central"))
+    met = written(met.drop("others").join(central, "sid"), "met")
+
+    labelled = met
     for by in (F.col("central"), F.xxhash64("sid", F.lit(3))):
-        heads = labelled.groupBy("key").agg(F.max(F.struct(by.alias("by"), "sid", "n", "label")).alias("head"))
-        apart = labelled.join(heads, "key").filter((F.col("label") != F.col("head.label")) & _close(F.col("n"), F.col("head.n")))
-        new = _checked(apart.select(F.col("head.sid").alias("u"), F.col("sid").alias("v")).distinct(), docs, distinct, shingle)
-        edges = new if edges is None else edges.unionByName(new)
+        leads = labelled.groupBy("key").agg(F.max(F.struct(by.alias("by"), "sid", "n", "label")).alias("head"))
+        apart = labelled.join(written(leads, "leads"), "key").filter((F.col("label") != F.col("head.label")) & _close(F.col("n"), F.col("head.n")))
+        edges = edges.unionByName(_checked(apart.select(F.col("head.sid").alias("u"), F.col("sid").alias("v")).distinct(), docs, distinct, shingle))
         named = written(components(edges), "components")
-        labelled = written(met.join(named, met["sid"] == named["node"], "left").select(*met.columns, F.coalesce("root", "sid").alias("label")), "labelled")
+        labelled = written(met.drop("label").join(named, met["sid"] == named["node"], "left").select("key", "sid", "n", "central", F.coalesce("root", "sid").alias("label")), "labelled")
 
-    parts = labelled.groupBy("key", "label").agg(F.collect_list(F.struct("sid", "n")).alias("members"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
-    parts = written(parts.join(mixed, "key"), "parts")
+    split = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    still = written(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key"), "still")
+    chunk = F.pmod(F.xxhash64("sid", F.lit(9)), F.ceil(F.col("c") / CHUNK))
+    parts = labelled.join(still, "key").join(split, ["key", "label"]).groupBy("key", "label", chunk.alias("chunk")).agg(F.collect_list(F.struct("sid", "n")).alias("members"))
+    parts = written(parts, "parts")
     other = parts.select("key", F.col("label").alias("label2"), F.col("members").alias("members2"))
     met_twice = parts.join(other, "key").filter("label < label2").select(F.explode("members").alias("a"), "members2")
     fits = F.filter("members2", lambda b: _close(F.col("a.n"), b["n"]))
@@ -181,6 +193,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each group: the one of the least id."""
-    kept = written(groups(docs, shingle).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep._key").alias("keeper")), "kept")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, keyed["_key"] == kept["keeper"], "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = written(groups(docs, shingle).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.k1").alias("r1"), F.col("rep.k2").alias("r2")), "kept")
+    a, b = fresh(docs, "k1", "k2")
+    keyed = docs.select("*", *[k.alias(x) for k, x in zip(row_keys(), (a, b), strict=True)])
+    return keyed.join(kept, (keyed[a] == kept["r1"]) & (keyed[b] == kept["r2"]), "left_semi").dropDuplicates([a, b]).drop(a, b)

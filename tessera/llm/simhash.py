@@ -12,13 +12,16 @@ b follows the number of distinct fingerprints, so that a key is expected to hold
 Within a key, the pivot table decides: each fingerprint's Hamming distances to PIVOTS reference fingerprints. By the
 triangle inequality a pair whose table rows differ by more than 4 in any coordinate can't link; those are discarded
 coordinate by coordinate, and only the survivors are compared. A task emits a spanning forest of its links, never all
-pairs. Keys with over HOT fingerprints are dealt in chunks: every two chunks meet in a task of their own.
+pairs. Keys with over HOT fingerprints are dealt in chunks: every two chunks meet in a task of their own. Keys with over HUGE
+are not paired: every fingerprint names the points within half of MAX_BITS of it in the bits that the key leaves free. Two that
+link name a common point, and all that name one point link, so they become a star around the least: as many rows as the
+fingerprints times a number that follows from the key.
 
 Components come from alternating large-star and small-star rounds on the forest edges, each round written out.
 
-Defined cases: null and blank texts have fingerprint zero and link like any other; texts are read whole; rows with a null
-id take part, and a component's id is its least non-null id; repeated rows get equal results; an empty table gives an
-empty table.
+Defined cases: null and blank texts have fingerprint zero and link like any other; texts of any length are read whole; rows
+with a null id take part, and a component's id is its least non-null id; repeated rows get equal results; an empty table gives
+an empty table; of the input only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -33,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import memory, spread, written
+from tessera.llm.common import memory, row_keys, spread, written
 
 MAX_BITS = 4
 SEED = 42
 PIVOTS = 24
-HOT = 256
+HOT, HUGE = 256, 4096
 
 
 def _pivots(n: int) -> np.ndarray:
@@ -46,36 +49,44 @@ def _pivots(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(n)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The unsigned 64-bit SimHash of a whole text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a whole text's shingles, repeats included; one of the whole if it has fewer words, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
+    size = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of shingle hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, _key (of the row) and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, k1 and k2 (of the row) and fp (the fingerprint as a signed long) of every row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory()
         for f in frames:
             found = np.array([fingerprint(x if isinstance(x, str) else None, shingle) for x in f["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "_key": f["_key"], "fp": found})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "k1": f["k1"], "k2": f["k2"], "fp": found})
 
-    rows = spread(docs.select("doc_id", "text")).withColumn("_key", F.xxhash64("doc_id", "text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _key long, fp long")
+    k1, k2 = row_keys()
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
+    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, fp long")
 
 
 def masks(n: int, max_bits: int = MAX_BITS) -> list[int]:
@@ -149,8 +160,36 @@ def _links(max_bits: int):
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+def _points(chosen: list[int], max_bits: int):
+    """Rows of (t, fp) -> fp and each point within half of max_bits of it in the bits that key t leaves free."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flips: dict[int, np.ndarray] = {}
+        for f in frames:
+            for t, part in f.groupby("t"):
+                if t not in flips:
+                    free = [1 << b for b in range(64) if not chosen[t] >> b & 1]
+                    flips[t] = np.array([sum(c) for k in range(max_bits // 2 + 1) for c in combinations(free, k)], np.uint64)
+                fps = part["fp"].to_numpy(np.int64).view(np.uint64)
+                step = max(1, 1_000_000 // len(flips[t]))
+                for k in range(0, len(fps), step):
+                    some = fps[k : k + step]
+                    yield pd.DataFrame({"fp": np.repeat(some, len(flips[t])).view(np.int64), "point": (some[:, None] ^ flips[t][None, :]).ravel().view(np.int64)})
+
+    return run
+
+
+def _stars(met: DataFrame, chosen: list[int], max_bits: int) -> DataFrame:
+    """u, v: each fingerprint of the rows (t, fp) and the least that shares a point with it."""
+    near = written(met.select("t", "fp").mapInPandas(_points(chosen, max_bits), "fp long, point long"), "points")
+    least = written(near.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v < most").select("point", "v"), "least")
+    return near.join(least, "point").filter("fp != v").select(F.col("fp").alias("u"), "v").distinct()
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT, huge: int = HUGE) -> DataFrame:
     """u, v: edges between fingerprints (fp, each once) whose components are those of all links within max_bits."""
+    if max_bits % 2:
+        raise ValueError("points lie half of max_bits away, which must be even")
     chosen = masks(distinct.count(), max_bits)
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(chosen)])).alias("k")).select("fp", "k.*")
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -159,13 +198,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> Data
     chunks = F.ceil(F.col("n") / (hot // 2))
     chunk = F.pmod(F.xxhash64("fp", F.lit(3)), chunks).cast("int")
     warm = (
-        met.filter(F.col("n") > hot)
+        met.filter((F.col("n") > hot) & (F.col("n") <= huge))
         .select("t", "key", "fp", chunk.alias("c"), F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1)).alias("d"))
         .groupBy("t", "key", F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
         .agg(F.collect_list("fp").alias("fps"))
         .select("fps")
     )
-    return cold.unionByName(warm).mapInPandas(_links(max_bits), "u long, v long")
+    found = cold.unionByName(warm).mapInPandas(_links(max_bits), "u long, v long")
+    crowd = met.filter(F.col("n") > huge)
+    return found.unionByName(_stars(crowd, chosen, max_bits)) if crowd.limit(1).count() else found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,23 +235,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """doc_id, _key, fp, component_id and keeper (the _key of the row that stands for the component) of every row."""
+    """doc_id, k1 and k2 (of the row), fp, component_id and keeper (the keys of the row that stands for the component) of every row."""
     found = written(fingerprints(docs, shingle), "fingerprints")
-    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     distinct = written(found.groupBy("fp").agg(F.min(rep).alias("rep")), "distinct")
     comp = written(components(links(distinct.select("fp"), max_bits, hot)), "components")
     grouped = comp.join(distinct, comp["node"] == distinct["fp"]).select("fp", "root", "rep")
     heads = grouped.groupBy("root").agg(F.min("rep").alias("head"))
-    named = grouped.join(heads, "root").select(F.col("fp").alias("_fp"), "head")
-    of = distinct.join(named, distinct["fp"] == named["_fp"], "left").select("fp", F.coalesce("head", "rep").alias("head"))
-    return found.join(of, "fp").select("doc_id", "_key", "fp", F.col("head.doc_id").alias("component_id"), F.col("head._key").alias("keeper"))
-
-
-def dedup(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each group of near-duplicates."""
-    kept = near_duplicates(docs, shingle, max_bits).select("keeper").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, keyed["_key"] == kept["keeper"], "left_semi").dropDuplicates(["_key"]).drop("_key")
+    named = grouped.join(heads, "root").select(F.col("fp").alias("of"), "head")
+    # written, so that both sides of the last join come straight from files and a hot fingerprint's rows can be split
+    of = written(distinct.join(named, distinct["fp"] == named["of"], "left").select("fp", F.coalesce("head", "rep").alias("head")), "heads")
+    return found.join(of, "fp").select("doc_id", "k1", "k2", "fp", F.col("head.doc_id").alias("component_id"), F.struct("head.k1", "head.k2").alias("keeper"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
