@@ -13,10 +13,14 @@ share a minimiser form a super-k-mer, which travels as one packed string of its
    counts before each shuffle, so no task sees them all.
 4. Repeated windows, as ranges, return to their rows, and every word they cover is removed.
 
-Rows are told apart by a hash of id and text, so rows repeated exactly are one another's repeats, and each gets its result.
+Counts and ranges come from written tables, so a minimiser, a digest or a row that very many rows share is split by the joins
+that meet it.
+
+Rows are told apart by hashes of id and text, so rows repeated exactly share one set of windows and each gets its result.
 
 Defined cases: a null text has no words and stays null; texts of fewer words than a window lose nothing; texts of any
-length are read whole; an empty table gives an empty table; other columns pass through.
+length are read whole; rows with a null id take part; an empty table gives an empty table; other columns pass through as they
+are, but for those named like a result column (n_words, n_removed, kept_sha256), which the result replaces.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from tessera.llm.common import WORD, memory, spread, written
+from tessera.llm.common import WORD, fresh, memory, others, row_keys, spread, written
 
 WINDOW = 35
 SEED = 6
@@ -109,23 +115,21 @@ def repeated_windows(packed: list[str], window: int) -> tuple[np.ndarray, np.nda
 
 
 def _cut(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """key, first, windows, mini of every super-k-mer."""
+    """k1, k2, first, windows, mini of every super-k-mer."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory()
         for frame in frames:
-            keys, firsts, counts, minis = [], [], [], []
-            for key, text in zip(frame["_key"].tolist(), frame["text"], strict=True):
+            out: dict[str, list] = {c: [] for c in ("k1", "k2", "first", "windows", "mini")}
+            for k1, k2, text in zip(frame["k1"].tolist(), frame["k2"].tolist(), frame["text"], strict=True):
                 first, n, mini = super_kmers(hashed(_WORDS.findall(text)), window, seed)
                 if len(first):
-                    keys.append(np.full(len(first), key, np.int64))
-                    firsts.append(first)
-                    counts.append(n)
-                    minis.append(mini)
-            if keys:
-                yield pd.DataFrame({"_key": np.concatenate(keys), "first": np.concatenate(firsts).astype(np.int32), "windows": np.concatenate(counts).astype(np.int32), "mini": np.concatenate(minis).view(np.int64)})
+                    for name, x in zip(out, (np.full(len(first), k1, np.int64), np.full(len(first), k2, np.int64), first.astype(np.int32), n.astype(np.int32), mini.view(np.int64)), strict=True):
+                        out[name].append(x)
+            if out["k1"]:
+                yield pd.DataFrame({name: np.concatenate(x) for name, x in out.items()})
 
-    return docs.filter(F.col("text").isNotNull()).mapInPandas(run, "_key long, first int, windows int, mini long")
+    return docs.filter(F.col("text").isNotNull()).mapInPandas(run, "k1 long, k2 long, first int, windows int, mini long")
 
 
 def _fetch(window: int):
@@ -133,14 +137,14 @@ def _fetch(window: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory()
-        names = ["_key", "first", "mini", "packed", "digest"]
+        names = ["k1", "k2", "first", "mini", "packed", "digest"]
         for frame in frames:
             out: list[tuple] = []
-            for key, text, *parts in zip(frame["_key"].tolist(), frame["text"], frame["first"], frame["windows"], frame["mini"], frame["hot"], strict=True):
+            for k1, k2, text, *parts in zip(frame["k1"].tolist(), frame["k2"].tolist(), frame["text"], frame["first"], frame["windows"], frame["mini"], frame["hot"], strict=True):
                 words = _WORDS.findall(text)
                 for first, n, mini, hot in zip(*[p.tolist() for p in parts], strict=True):
                     packed = " ".join(words[first : first + n + window - 1])
-                    out.append((key, first, mini, packed, xxhash.xxh3_128_digest(packed) if hot else None))
+                    out.append((k1, k2, first, mini, packed, xxhash.xxh3_128_digest(packed) if hot else None))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
@@ -155,7 +159,7 @@ def _bucketed(window: int):
 
     def settle(f: pd.DataFrame) -> pd.DataFrame:
         row, first, n = repeated_windows(f["packed"].tolist(), window)
-        return pd.DataFrame({"_key": f["_key"].to_numpy()[row], "first": f["first"].to_numpy()[row] + first, "windows": n})
+        return pd.DataFrame({"k1": f["k1"].to_numpy()[row], "k2": f["k2"].to_numpy()[row], "first": f["first"].to_numpy()[row] + first, "windows": n})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory()
@@ -191,7 +195,7 @@ def _window_digests(window: int):
 
 
 def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
-    """_key, first, windows of the repeated windows of hot minimisers.
+    """k1, k2, ranges (first, windows) of the repeated windows of hot minimisers.
 
     Equal super-k-mers count as one, with their number: of those that occur twice all windows repeat. The windows of the
     different ones are then counted by digest; every count is partial before its shuffle.
@@ -204,75 +208,77 @@ def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
     found = different.join(several, "digest", "left").select("digest", F.when(F.col("n") > 1, whole).otherwise(F.col("ks")).alias("ks")).filter("ks IS NOT NULL")
     # the run of a whole super-k-mer is one range, others go window by window
     ranges = F.when(F.size("ks") == F.array_max("ks") + 1, F.array(F.struct(F.lit(0).alias("k"), F.size("ks").alias("n")))).otherwise(F.transform("ks", lambda k: F.struct(k.alias("k"), F.lit(1).alias("n"))))
-    met = hot.select("_key", "first", "digest").join(found.select("digest", ranges.alias("r")), "digest")
-    return met.select("_key", F.transform("r", lambda r: F.struct((F.col("first") + r["k"]).alias("first"), r["n"].alias("windows"))).alias("ranges"))
-
-
-def _removed(window: int, own: list[str], digest: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    met = hot.select("k1", "k2", "first", "digest").join(written(found.select("digest", ranges.alias("r")), "found"), "digest")
+    return met.select("k1", "k2", F.transform("r", lambda r: F.struct((F.col("first") + r["k"]).alias("first"), r["n"].alias("windows"))).alias("ranges"))
+
+
+def _without(text: str | None, firsts: np.ndarray | None, counts: np.ndarray | None, window: int) -> tuple[str | None, int, int, list[str]]:
+    """A text without the words of its ranges of windows; its words, how many went, and those that are left."""
+    if firsts is None or not len(firsts):
+        words = _WORDS.findall(text) if text is not None else []
+        return text, len(words), 0, words
+    spans = [m.span() for m in _WORDS.finditer(text)]
+    drop = np.zeros(len(spans) + 1, np.int32)
+    np.add.at(drop, firsts, 1)
+    np.add.at(drop, np.minimum(firsts + counts + window - 1, len(spans)), -1)
+    gone = (np.cumsum(drop[:-1]) > 0).tolist()
+    kept, parts, at = [], [], 0
+    for (a, b), d in zip(spans, gone, strict=True):
+        if not d:  # a removed word goes with the white space before it
+            kept.append(text[a:b])
+            parts.append(text[at:b])
+        at = b
+    return "".join(parts).strip(" \t\n\x0b\x0c\r"), len(spans), sum(gone), kept
+
+
+def _removed(window: int, own: int, place: int, digest: bool, names: list[str]):
+    """Rows of own columns (the text at place), firsts and counts -> the rows without their repeated words. Other columns stay in Arrow as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory()
-        for frame in frames:
-            total, gone, texts, hashes = [], [], [], []
-            for text, firsts, counts in zip(frame["text"], frame["_firsts"], frame["_counts"], strict=True):
-                has = isinstance(text, str)
-                if firsts is None or not len(firsts):
-                    words = _WORDS.findall(text) if has else []
-                    total.append(len(words))
-                    gone.append(0)
-                    texts.append(text)
-                    kept = words
-                else:
-                    spans = [m.span() for m in _WORDS.finditer(text)]
-                    drop = np.zeros(len(spans) + 1, np.int32)
-                    np.add.at(drop, firsts, 1)
-                    np.add.at(drop, np.minimum(firsts + counts + window - 1, len(spans)), -1)
-                    drop = np.cumsum(drop[:-1]) > 0
-                    kept = [text[a:b] for (a, b), d in zip(spans, drop.tolist(), strict=True) if not d]
-                    # a removed word goes with the white space before it
-                    parts, at = [], 0
-                    for (a, b), d in zip(spans, drop.tolist(), strict=True):
-                        if not d:
-                            parts.append(text[at:b])
-                        at = b
-                    texts.append("".join(parts).strip(" \t\n\x0b\x0c\r") if kept else "")
-                    total.append(len(spans))
-                    gone.append(int(drop.sum()))
-                if digest:
-                    hashes.append(hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest())
-            out = frame.drop(columns=["_firsts", "_counts"])
-            out["text"], out["n_words"], out["n_removed"] = texts, total, gone
+        for batch in batches:
+            out = [_without(t, None if f is None else np.asarray(f, np.int64), None if f is None else np.asarray(c, np.int64), window) for t, f, c in zip(*[batch.column(k).to_pylist() for k in (place, own, own + 1)], strict=True)]
+            columns = batch.columns[:own]
+            columns[place] = pa.array([o[0] for o in out], pa.string())
+            columns += [pa.array([o[k] for o in out], pa.int64()) for k in (1, 2)]
             if digest:
-                out["kept_sha256"] = hashes
-            yield out[[*own, "n_words", "n_removed", *["kept_sha256"] * digest]]
+                columns.append(pa.array([hashlib.sha256(" ".join(o[3]).encode("utf-8", "surrogatepass")).hexdigest() for o in out], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """_key, ranges (first, windows): the runs of windows whose words also start anywhere else. docs has _key and text."""
+    """k1, k2, ranges (first, windows): the runs of windows whose words also start anywhere else. docs has k1, k2 and text."""
     kmers = written(_cut(spread(docs), window, seed), "superkmers")
-    counts = kmers.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = kmers.join(counts, "mini").select("_key", F.struct("first", "windows", "mini", (F.col("n") > hot).alias("hot")).alias("part"))
-    by_row = parts.groupBy("_key").agg(F.collect_set("part").alias("parts"))
+    counts = written(kmers.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1"), "minimisers")
+    parts = kmers.join(counts, "mini").select("k1", "k2", F.struct("first", "windows", "mini", (F.col("n") > hot).alias("hot")).alias("part"))
+    by_row = parts.groupBy("k1", "k2").agg(F.collect_set("part").alias("parts"))
     # arrays of numbers cross to Python as they are; arrays of structs would become an object each
-    arrays = [F.transform("parts", lambda p: p["first"]).alias("first"), F.transform("parts", lambda p: p["windows"]).alias("windows"), F.transform("parts", lambda p: p["mini"]).alias("mini"), F.transform("parts", lambda p: p["hot"]).alias("hot")]
-    sent = written(docs.join(by_row, "_key").select("_key", "text", *arrays).mapInPandas(_fetch(window), "_key long, first int, mini long, packed string, digest binary"), "packed")
-    cold = sent.filter(F.col("digest").isNull()).select("mini", "_key", "first", "packed")
-    cold = cold.repartition("mini").sortWithinPartitions("mini").mapInPandas(_bucketed(window), "_key long, first int, windows int")
-    one = cold.select("_key", F.array(F.struct("first", "windows")).alias("ranges"))
+    arrays = [F.col(f"parts.{c}").alias(c) for c in ("first", "windows", "mini", "hot")]
+    sent = written(docs.join(by_row, ["k1", "k2"]).select("k1", "k2", "text", *arrays).mapInPandas(_fetch(window), "k1 long, k2 long, first int, mini long, packed string, digest binary"), "packed")
+    cold = sent.filter(F.col("digest").isNull()).select("mini", "k1", "k2", "first", "packed")
+    cold = cold.repartition("mini").sortWithinPartitions("mini").mapInPandas(_bucketed(window), "k1 long, k2 long, first int, windows int")
+    one = cold.select("k1", "k2", F.array(F.struct("first", "windows")).alias("ranges"))
     return one.unionByName(_hot_ranges(sent.filter(F.col("digest").isNotNull()), window))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, digest: bool = False) -> DataFrame:
     """docs with repeated words cut from text, and n_words, n_removed (and kept_sha256 of the kept words)."""
-    own = [c for c in docs.columns if c not in ("_key", "ranges", "_firsts", "_counts", "n_words", "n_removed", "kept_sha256")]
-    keyed = docs.select(*own, F.xxhash64("doc_id", "text").alias("_key"))
-    found = repeated_ranges(keyed.select("_key", "text"), window, seed, hot)
-    ranges = written(found.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("ranges"))).alias("ranges")), "ranges")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*own).schema)
-    schema = f"{types}, n_words long, n_removed long" + ", kept_sha256 string" * digest
-    split = [F.transform("ranges", lambda r: r["first"]).alias("_firsts"), F.transform("ranges", lambda r: r["windows"]).alias("_counts")]
-    return keyed.join(ranges, "_key", "left").select(*own, *split).mapInPandas(_removed(window, own, digest), schema)
+    new = [("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType())][: 2 + digest]
+    own = others(docs, *[name for name, _ in new])
+    a, b, r = fresh(docs, "k1", "k2", "ranges")
+    keyed = docs.select("*", *[k.alias(x) for k, x in zip(row_keys(), (a, b), strict=True)])
+    found = repeated_ranges(keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), "text"), window, seed, hot)
+    flat = F.array_distinct(F.flatten(F.collect_set("ranges")))
+    ranges = written(found.groupBy("k1", "k2").agg(flat.alias(r)), "ranges")
+    schema = StructType([*docs.select(*own).schema])
+    place = [f.name.lower() for f in schema].index("text")
+    for name, kind in new:
+        schema = schema.add(name, kind)
+    split = [F.col(f"{r}.first"), F.col(f"{r}.windows")]
+    met = keyed.join(ranges, (keyed[a] == ranges["k1"]) & (keyed[b] == ranges["k2"]), "left").select(*own, *split)
+    return met.mapInArrow(_removed(window, len(own), place, digest, schema.names), schema)
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:
