@@ -9,11 +9,13 @@ wider ranges, down to one. What no gap can hold opens new sequences: as many as
 Pieces of one length are alike, and so are gaps of one history, so both sides travel as runs (size, first rank, count):
 a round handles as many rows as there are distinct sizes and histories. That number follows the sequence length, never
 the corpus, so the rounds cost the same at any scale. The corpus itself is touched twice: to tokenise it, and to give
-every piece its rank within its length (ranked within salted groups, then shifted, so one very common length splits over
-tasks) and look up the run that places it.
+every piece its rank within its length and look up the run that places it. A length is ranked within as many salted groups as
+its share of all pieces asks for, GROUPS for each shuffle partition in all, and the ranks are then shifted, so no group grows
+with the corpus faster than the cluster. Runs are broadcast RUNS at a time.
 
-Defined cases: a null text counts as empty and yields the closing id alone; repeated rows and equal ids are packed row by
-row; a text of any length is tokenised whole and cut into pieces; an empty table gives an empty table.
+Defined cases: a null text counts as empty and yields the closing id alone; ids may be null; repeated rows and equal ids are
+packed row by row; a text of any length is tokenised whole and cut into pieces; an empty table gives an empty table; of the
+input only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,22 +23,23 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, memory, spread, written
 
-#: Pieces of one length are ranked in so many groups.
-SALTS = 64
-#: Range tasks of the first round; halved until one task sees all that is left.
-RANGES = 4
+#: For each shuffle partition pieces are ranked in so many groups; besides, every length has one at least.
+GROUPS = 8
+#: Runs that a range task of the first round sweeps; ranges are halved until one task sees all that is left.
+SWEPT = 512
+#: Runs that are sent to the workers at once (32 bytes each).
+RUNS = 1_000_000
 #: Encoded words kept by a worker before it forgets them.
 CACHE = 800_000
 #: Texts encoded together.
@@ -120,12 +123,15 @@ def coder_of(path: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece, and with keep_ids its ids (little-endian u32)."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * keep_ids
+    """doc_id, piece, start, length, ids_crc32 of every piece, and with keep_ids its ids (little-endian u32); nth tells all pieces
+    of one evaluation apart, so the pieces are to be written before they are packed."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"] + ["ids"] * keep_ids
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long, nth long" + ", ids binary" * keep_ids
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = coder_of(tokenizer)
         end = np.asarray([closing], "<u4").tobytes()
+        nth = TaskContext.get().partitionId() << 40
         for frame in frames:
             out: list[tuple] = []
             for g in range(0, len(frame), GROUP):
@@ -134,10 +140,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int =
                     ids += end
                     for k in range(0, len(ids), 4 * capacity):
                         piece = ids[k : k + 4 * capacity]
-                        row = (doc_id, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece))
+                        row = (doc_id, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), nth)
                         out.append((*row, piece) if keep_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": frame["doc_id"].dtype})
+                        nth += 1
+            # each column by itself: ids beside nulls must not turn into floats
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pd.DataFrame({name: pd.Series(list(c), dtype=object if name in ("doc_id", "ids") else None) for name, c in zip(names, columns, strict=True)})
 
     return spread(docs.select("doc_id", "text")).mapInPandas(cut, schema)
 
@@ -197,7 +205,7 @@ def plan(lengths: dict[int, int], capacity: int, round_: Callable[[int], Callabl
     """(length, first rank, count, first sequence, offset) of every run of pieces; lengths: pieces of each length."""
     waiting = {n: (0, c) for n, c in lengths.items() if c}
     gaps: list[tuple[int, int, int]] = []
-    bins, ranges, done = 0, RANGES, []
+    bins, ranges, done = 0, 1 << (len(waiting) // SWEPT).bit_length(), []
     # pieces over half a sequence cannot share one: each opens its own
     for n in [n for n in waiting if 2 * n > capacity]:
         c = waiting.pop(n)[1]
@@ -226,37 +234,44 @@ def plan(lengths: dict[int, int], capacity: int, round_: Callable[[int], Callabl
 def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
     """found (pieces, already written once) with sequence_id and offset."""
     spark = found.sparkSession
-    salted = found.withColumn("_salt", (F.xxhash64("doc_id", "piece", "ids_crc32").bitwiseAND(SALTS - 1)).cast("int"))
-    # at most capacity * SALTS rows, whatever the corpus
-    groups = defaultdict(dict)
-    for r in salted.groupBy("length", "_salt").count().collect():
-        groups[r["length"]][r["_salt"]] = r["count"]
-    totals = {n: sum(by.values()) for n, by in groups.items()}
-    placed = plan(totals, capacity, lambda k: on_cluster(spark, k)) if totals else []
-    shift, runs = {}, defaultdict(list)
-    for n, by in groups.items():
-        at = 0
-        for salt in sorted(by):
-            shift[n, salt] = at
-            at += by[salt]
-    for n, first, count, bin_, offset in sorted(placed):
-        runs[n].append((first, count, bin_, offset))
-    firsts = {n: [r[0] for r in rs] for n, rs in runs.items()}
-    send = spark.sparkContext.broadcast((shift, dict(runs), firsts))
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shift, runs, firsts = send.value
-        for f in frames:
-            seq, off = np.zeros(len(f), "i8"), np.zeros(len(f), "i8")
-            for i, (n, salt, rank) in enumerate(zip(f["length"].tolist(), f["_salt"].tolist(), f["_rank"].tolist(), strict=True)):
-                r = shift[n, salt] + rank - 1
-                first, _, bin_, offset = runs[n][bisect_right(firsts[n], r) - 1]
-                seq[i], off[i] = bin_ + r - first, offset
-            yield f.drop(columns=["_salt", "_rank"]).assign(sequence_id=seq, offset=off)
-
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
-    return ranked.mapInPandas(place, f"{types}, sequence_id long, offset long")
+    lengths = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most capacity rows
+    share = max(1, sum(lengths.values()) // (GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = np.array([-(-lengths.get(n, 0) // share) for n in range(capacity + 1)], np.int64)
+    before = np.cumsum(salts) - salts  # of each length: the groups of shorter ones
+    salt = F.pmod(F.xxhash64("nth"), F.element_at(F.lit(np.maximum(salts, 1).tolist()), F.col("length") + 1)).cast("int")
+    salted = found.withColumn("salt", salt)
+    shift = np.zeros(int(salts.sum()), np.int64)
+    for r in salted.groupBy("length", "salt").count().collect():  # at most GROUPS a partition, and one a length
+        shift[before[r["length"]] + r["salt"]] = r["count"]
+    for n in lengths:
+        own = slice(before[n], before[n] + salts[n])
+        shift[own] = np.cumsum(shift[own]) - shift[own]
+    placed = np.array(sorted(plan(lengths, capacity, lambda k: on_cluster(spark, k))), np.int64).reshape(-1, 5) if lengths else np.zeros((0, 5), np.int64)
+
+    def place_with(send):
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            before, shift, runs = send.value
+            starts = (runs[:, 0] << 45) + runs[:, 1]
+            for f in frames:
+                n = f["length"].to_numpy(np.int64)
+                rank = shift[before[n] + f["salt"].to_numpy(np.int64)] + f["rank"].to_numpy(np.int64) - 1
+                run = runs[np.searchsorted(starts, (n << 45) + rank, side="right") - 1]
+                yield f.drop(columns=["salt", "rank", "nth"]).assign(sequence_id=run[:, 3] + rank - run[:, 1], offset=run[:, 4])
+
+        return place
+
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("nth")))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "nth") + ", sequence_id long, offset long"
+    out, at = None, 0
+    while out is None or at < len(placed):
+        # whole lengths at a time, so that each piece finds its run in one slice
+        end = at if not len(placed) else int(np.searchsorted(placed[:, 0], placed[min(at + RUNS, len(placed)) - 1, 0], side="right"))
+        low, high = (int(placed[at, 0]), int(placed[end - 1, 0])) if end > at else (0, capacity)
+        send = spark.sparkContext.broadcast((before, shift, placed[at:end]))
+        some = ranked.filter(F.col("length").between(low, high)) if end < len(placed) or at else ranked
+        some = some.mapInPandas(place_with(send), types)
+        out, at = some if out is None else out.unionByName(some), max(end, 1)
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, keep_ids: bool = True) -> DataFrame:
