@@ -5,11 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from tessera.functions.stemmer import stem_column
+from tessera.functions.stemmer import stem
 from tessera.plans.config import AnalyzerConfig
 
 # fixed values: the stopwords. Those with an apostrophe never match, as normalising turns it into a space.
@@ -28,36 +28,68 @@ within without
 NEGATORS = "not no nor neither never none without against".split()
 # fixed values: words that finance texts need
 FINANCE_KEEP = "up down over under above below own will out against".split()
-# fixed values: accented Latin-1 letters and their base letters
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _bases() -> tuple[str, str]:
+    """Lower-case letters whose compatibility decomposition is one letter and marks, and that letter; then the marks, to drop."""
+    pairs = []
+    for c in map(chr, range(0xA0, 0xFFFF)):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if c == c.lower() and len(bare) == 1 and bare != c and bare.isalnum() and not 0xD800 <= ord(c) < 0xE000:
+            pairs.append((c, bare))
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _bases()
+#: Lower-case letters that fold to several.
+SEVERAL = (("ß", "ss"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
+_TABLE = str.maketrans(dict(zip(ACCENTED, PLAIN.ljust(len(ACCENTED), "\0"), strict=True))) | {ord(c): None for c in ACCENTED[len(PLAIN) :]}
 # fixed values: the formats of finance tokens
 FINANCE_NUMBER, FINANCE_TICKER = r"^\$?[0-9][0-9,.]*[BMKbmk%]?$", r"^\$?[A-Za-z]{1,5}$"
 FINANCE_PERIOD, FINANCE_FILING = "^([Qq][1-4]|[Ff][Yy][0-9]{2,4}|[Hh]1|[Hh]2)$", "^[0-9]{1,2}-[KkQq]$"
 NUMERIC_CLAIM = r"^\$?[0-9][0-9,.]*[BMKmM%]?$"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9(])"
+#: What is between words, without and with finance mode.
+KEPT = (r"[^\p{L}\p{N}_]+", r"[^\p{L}\p{N}_$%/-]+")
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def fold(text: Column) -> Column:
-    """Case and accents folded, for the Latin-1 letters."""
-    return F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    """Case, accents and compatibility forms folded, for all letters that fold to one letter and for SEVERAL."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for letter, letters in SEVERAL:
+        out = F.replace(out, F.lit(letter), F.lit(letters))
+    return F.translate(out, ACCENTED, PLAIN)
 
 
 def normalize(text: Column, finance: bool = False) -> Column:
     """Folded words of letters, digits and underscores ($ % - / too in finance mode) with single spaces between."""
-    kept = r"[^\p{L}\p{N}_$%/-]+" if finance else r"[^\p{L}\p{N}_]+"
-    return F.trim(F.regexp_replace(fold(text), kept, " "))
+    return F.trim(F.regexp_replace(fold(text), KEPT[finance], " "))
+
+
+def _dropped(config: AnalyzerConfig) -> list[str]:
+    return sorted(set(STOPWORDS) - set(NEGATORS if config.keep_negators else ()) - set(FINANCE_KEEP if config.finance_mode else ())) if config.remove_stopwords else []
+
+
+def analyze_text(text: str | None, config: AnalyzerConfig = AnalyzerConfig()) -> list[str]:
+    """The analysed terms of one short text, on the driver: what analyze gives for its row."""
+    folded = (text or "").lower()
+    for letter, letters in SEVERAL:
+        folded = folded.replace(letter, letters)
+    dropped = set(_dropped(config))
+    words = [t for t in regex.sub(KEPT[config.finance_mode], " ", folded.translate(_TABLE)).split(" ") if t and t not in dropped]
+    known = stems_of(config.finance_mode)
+    return [known[t] for t in words] if config.stemming else words
 
 
-@F.pandas_udf(StringType())
-def fold_all(text: pd.Series) -> pd.Series:
-    """Case and accents folded for all of Unicode, where Latin-1 is not enough; pass its result to normalize."""
-    return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).casefold())
+def _finance_words() -> regex.Pattern:
+    """What finance mode never stems."""
+    return regex.compile("|".join(f"(?:{p})" for p in (FINANCE_NUMBER, FINANCE_TICKER, FINANCE_PERIOD, FINANCE_FILING, r"^\$", "[0-9]")))
 
 
 def tokens(text: Column, config: AnalyzerConfig = AnalyzerConfig()) -> Column:
     """The unstemmed tokens, stopwords dropped as configured."""
-    dropped = sorted(set(STOPWORDS) - set(NEGATORS if config.keep_negators else ()) - set(FINANCE_KEEP if config.finance_mode else ())) if config.remove_stopwords else []
+    dropped = _dropped(config)
     words = F.split(normalize(text, config.finance_mode), " ")
     return F.filter(words, lambda t: (t != "") & ~t.isin(dropped) if dropped else t != "")
 
@@ -66,23 +98,42 @@ def is_finance_token(token: Column) -> Column:
     return token.rlike(FINANCE_NUMBER) | token.rlike(FINANCE_TICKER) | token.rlike(FINANCE_PERIOD) | token.rlike(FINANCE_FILING)
 
 
-def _unstemmed(token: Column, config: AnalyzerConfig) -> Column:
-    return (token.startswith("$") | is_finance_token(token) | token.rlike("[0-9]")) if config.finance_mode else F.lit(False)
+class _Stems(dict):
+    """The stems of the words a worker has seen, up to a bound."""
+
+    def __init__(self, finance: bool):
+        self.kept = _finance_words() if finance else None
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = word if self.kept and self.kept.search(word) else stem(word)
+        return out
+
+
+_stems: dict[bool, _Stems] = {}
+
+
+def stems_of(finance: bool) -> _Stems:
+    if finance not in _stems:
+        _stems[finance] = _Stems(finance)
+    return _stems[finance]
+
 
+def _stem_arrays(finance: bool):
+    @F.pandas_udf("array<string>")
+    def run(words: pd.Series) -> pd.Series:
+        known = stems_of(finance)
+        return words.map(lambda ws: [known[w] for w in ws], na_action="ignore")
 
-def stems(words: DataFrame) -> DataFrame:
-    """token, stem of each row of words (token)."""
-    return words.select("token", stem_column("token").alias("stem"))
+    return run
 
 
 def analyze(rows: DataFrame, keys: list[str], text: str, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
-    """keys, pos, term: the analysed terms of each row's text. Only distinct tokens are stemmed."""
-    out = rows.select(*keys, F.posexplode(tokens(F.col(text), config)).alias("pos", "token"))
-    if not config.stemming:
-        return out.withColumnRenamed("token", "term")
-    known = stems(out.select("token").distinct())
-    term = F.when(_unstemmed(F.col("token"), config), F.col("token")).otherwise(F.col("stem"))
-    return out.join(known, "token").select(*keys, "pos", term.alias("term"))
+    """keys, pos, term: the analysed terms of each row's text. Nothing is shuffled: workers remember the stems of words."""
+    words = tokens(F.col(text), config)
+    cut = rows.select(*keys, (_stem_arrays(config.finance_mode)(words) if config.stemming else words).alias("_terms"))
+    return cut.select(*keys, F.posexplode("_terms").alias("pos", "term"))
 
 
 def sentences(text: Column) -> Column:

@@ -1,169 +1,198 @@
 """Boolean, phrase, zone and metadata queries.
 
-A query is parsed on the driver into a tree. Every leaf becomes rows (leaf, chunk_id); one aggregate gathers the leaves each
-chunk fulfils, and the tree becomes one predicate over that set: a single shuffle, whatever the depth.
+A query becomes a postfix list of leaves and operators. Every leaf becomes rows (leaf, chunk_id); one aggregate gathers the
+leaves each chunk fulfils, and the postfix list becomes one predicate over that set: a single shuffle, whatever the depth. The
+words of all leaves are analysed on the driver, and looked up in one go.
 
-The grammar is tolerant: juxtaposed terms mean AND, a missing parenthesis is forgiven, and what cannot be reached by the
-grammar (as in `a NOT b`) is ignored. A term of nothing but stopwords holds everywhere, a phrase of them nowhere. A phrase
-of which one term alone is known holds wherever that term does.
+The grammar is tolerant: juxtaposed terms mean AND, a missing parenthesis is forgiven, an operator where an operand should be
+is a word, and what cannot be reached by the grammar (as in `a NOT b`) is ignored. A term of nothing but stopwords holds
+everywhere, a phrase of them nowhere. A phrase of which one term alone is known holds wherever that term does.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import analyze
+from tessera.functions.text import analyze_text
 from tessera.operators.index import TITLE_GAP, Index
 
 ZONES = ("title", "body", "text")
 META = ("ticker", "filing", "filing_type", "period", "company", "lang", "source")
-_FIELD = re.compile(rf"(?i)({'|'.join(ZONES + META)}):(.*)", re.S)
-
-
-@dataclass
-class Node:
-    kind: str
-    value: str = ""
-    zone: str = ""
-    children: list[Node] = field(default_factory=list)
-
-
-def lex(query: str) -> list[str | Node]:
-    """Operators and parentheses as text, everything else as leaves."""
-    spaced = query.replace("(", " ( ").replace(")", " ) ")
-    out: list[str | Node] = []
-    for raw in re.findall(r'"[^"]*"|\(|\)|\S+', spaced):
-        quoted = len(raw) >= 2 and raw[0] == raw[-1] == '"'
-        if raw in ("(", ")", "AND", "OR", "NOT"):
-            out.append(raw)
-        elif m := _FIELD.fullmatch(raw):
-            inner = m[2].strip()
-            whole = len(inner) >= 2 and inner[0] == inner[-1] == '"'
-            zone = m[1].lower()
-            out.append(Node("meta" if zone in META else "phrase" if whole else "term", inner[1:-1] if whole else inner, zone))
+#: How tightly the operators bind.
+BINDS = {"OR": 1, "AND": 2, "NOT": 3}
+_PARTS = re.compile(r'"(?P<quoted>[^"]*)"|(?P<mark>[()])|(?P<word>[^\s()]+)')
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """A term, a phrase (exact), or a value of a metadata field; nowhere: the operand that is missing at a query's end."""
+
+    text: str
+    field: str = ""
+    exact: bool = False
+    nowhere: bool = False
+
+    def __str__(self) -> str:
+        return (f"{self.field}:" if self.field else "") + (f'"{self.text}"' if self.exact else self.text)
+
+
+def _leaf_of(word: str) -> Leaf:
+    """A word with or without a field before a colon, and with or without quotes around its value."""
+    name, colon, value = word.partition(":")
+    field = name.lower() if colon and name.lower() in ZONES + META else ""
+    value = value if field else word
+    exact = bool(field) and len(value) > 1 and value[0] == '"' == value[-1]
+    return Leaf(value[1:-1] if exact else value, field, exact and field not in META)
+
+
+def postfix(query: str) -> list[Leaf | str]:
+    """Leaves and operators, each operator after its operands."""
+    out: list[Leaf | str] = []
+    waiting: list[str] = []
+    wanted = True  # an operand comes next
+
+    def settle(least: int) -> None:
+        while waiting and waiting[-1] != "(" and BINDS[waiting[-1]] >= least:
+            out.append(waiting.pop())
+
+    for m in _PARTS.finditer(query):
+        part = m[0] if m.lastgroup != "quoted" else None
+        if not wanted and part in ("AND", "OR"):
+            settle(BINDS[part])
+            waiting.append(part)
+            wanted = True
+        elif not wanted and part == ")" and "(" in waiting:
+            settle(0)
+            waiting.pop()
+        elif not wanted and part in (")", "NOT"):
+            break
         else:
-            out.append(Node("phrase" if quoted else "term", raw[1:-1] if quoted else raw))
-    return out
-
-
-def parse(query: str) -> Node:
-    items, at = lex(query), 0
-
-    def peek():
-        return items[at] if at < len(items) else None
-
-    def take():
-        nonlocal at
-        at += 1
-        return items[at - 1] if at <= len(items) else None
-
-    def either() -> Node:
-        parts = [both()]
-        while peek() == "OR":
-            take()
-            parts.append(both())
-        return parts[0] if len(parts) == 1 else Node("or", children=parts)
-
-    def both() -> Node:
-        parts = [negated()]
-        while peek() == "AND" or isinstance(peek(), Node) or peek() == "(":
-            if peek() == "AND":
-                take()
-            parts.append(negated())
-        return parts[0] if len(parts) == 1 else Node("and", children=parts)
-
-    def negated() -> Node:
-        if peek() == "NOT":
-            take()
-            return Node("not", children=[negated()])
-        item = take()
-        if item == "(":
-            inner = either()
-            if peek() == ")":
-                take()
-            return inner
-        if item is None:
-            return Node("or")
-        return item if isinstance(item, Node) else Node("term", item)
-
-    return either()
+            if not wanted:
+                settle(BINDS["AND"])
+                waiting.append("AND")
+            wanted = part in ("(", "NOT")
+            if wanted:
+                waiting.append(part)
+            else:
+                out.append(Leaf(m["quoted"], exact=True) if part is None else _leaf_of(part))
+    if wanted:
+        out.append(Leaf("", nowhere=True))
+    return out + [x for x in reversed(waiting) if x != "("]
 
 
 def _zoned(df: DataFrame, zone: str) -> DataFrame:
     return df.filter("tf_title > 0") if zone == "title" else df.filter("tf_title < tf") if zone == "body" else df
 
 
-def phrase(index: Index, terms: list[str], zone: str = "") -> DataFrame:
+def _facts(index: Index, terms: set[str]) -> dict[str, dict]:
+    """Of each term that is indexed: in how many chunks it is, by zone."""
+    if not terms:
+        return {}
+    rows = index.postings.filter(F.col("term").isin(sorted(terms))).groupBy("term").agg(F.count("*").alias("text"), F.count_if(F.col("tf_title") > 0).alias("title"), F.count_if(F.col("tf_title") < F.col("tf")).alias("body"))
+    return {r["term"]: r.asDict() for r in rows.collect()}  # the words of one query
+
+
+def _earlier(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
+def phrase(index: Index, terms: list[str], zone: str = "", facts: dict[str, dict] | None = None) -> DataFrame:
     """chunk_id of the chunks that hold the terms side by side."""
-    found = _zoned(index.postings.filter(F.col("term").isin(terms)), zone)
-    known = [r[0] for r in found.select("term").distinct().collect()]  # at most the phrase's terms
-    if not known:
-        return index.postings.select("chunk_id").limit(0)
-    if sum(t in known for t in terms) == 1:
-        return found.select("chunk_id")
-    if len(known) < len(set(terms)):
-        return index.postings.select("chunk_id").limit(0)
-    everywhere = index.postings.filter(F.col("term").isin(terms))
-    held = everywhere.groupBy("chunk_id").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, t in enumerate(terms)]).dropna()
-
-    def starts(p: Column) -> Column:
-        inside = p < TITLE_GAP if zone == "title" else p >= TITLE_GAP if zone == "body" else F.lit(True)
-        return reduce(lambda a, i: a & F.array_contains(f"p{i}", p + i), range(1, len(terms)), inside)
-
-    return held.filter(F.exists("p0", starts)).select("chunk_id")
-
-
-def _leaf(index: Index, node: Node) -> DataFrame | None:
-    """The chunks of a leaf; None where it holds everywhere."""
-    if node.kind == "meta":
-        name = "filing_type" if node.zone == "filing" else node.zone
-        if name not in index.chunks.columns:
-            return index.postings.select("chunk_id").limit(0)
-        value = node.value.strip().casefold()
-        wanted = [value, value.lstrip("$")] if name == "ticker" else [value]
-        return index.chunks.filter(F.lower(name).isin(wanted)).join(index.chunk_stats, "chunk_id", "left_semi").select("chunk_id")
-    row = index.spark.createDataFrame([(0, node.value)], "k int, text string")
-    terms = [r["term"] for r in analyze(row, ["k"], "text", index.config.analyzer).orderBy("pos").collect()]  # one query's text
-    if node.kind == "phrase":
-        return phrase(index, terms, node.zone) if terms else index.postings.select("chunk_id").limit(0)
-    return _zoned(index.postings.filter(F.col("term") == terms[0]), node.zone).select("chunk_id") if terms else None
+    facts = _facts(index, set(terms)) if facts is None else facts
+    known = [t for t in terms if facts.get(t, {}).get(zone or "text")]
+    nothing = index.postings.select("chunk_id").limit(0)
+    if len(known) == 1:
+        return _zoned(index.postings.filter(F.col("term") == known[0]), zone).select("chunk_id")
+    if len(known) < len(terms) or not terms:
+        return nothing
+    different = list(dict.fromkeys(terms))
+    everywhere = index.postings.filter(F.col("term").isin(different))
+    held = everywhere.groupBy("chunk_id").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, t in enumerate(different)]).dropna()
+    # where the phrase would begin, by each of its terms
+    begins = [_earlier(F.col(f"p{different.index(t)}"), i) for i, t in enumerate(terms)]
+    inside = {"title": lambda p: p < TITLE_GAP, "body": lambda p: p >= TITLE_GAP}.get(zone, lambda p: p >= 0)
+    return held.filter(F.exists(reduce(F.array_intersect, begins), inside)).select("chunk_id")
+
+
+class Plan:
+    """A query's leaves and operators over an index."""
+
+    def __init__(self, index: Index, query: str):
+        self.index, self.parts = index, postfix(query)
+        self.terms = {x: analyze_text(x.text, index.config.analyzer) for x in self.parts if isinstance(x, Leaf) and x.field not in META}
+        self.facts = _facts(index, {t for ts in self.terms.values() for t in ts})
+
+    def rows(self, leaf: Leaf) -> DataFrame | None:
+        """The chunks of a leaf; None where it holds everywhere."""
+        index = self.index
+        if leaf.field in META:
+            name = "filing_type" if leaf.field == "filing" else leaf.field
+            if name not in index.chunks.columns:
+                return index.postings.select("chunk_id").limit(0)
+            value = leaf.text.strip().strip('"').casefold()
+            wanted = [value, value.lstrip("$")] if name == "ticker" else [value]
+            return index.chunks.filter(F.lower(name).isin(wanted)).join(index.chunk_stats, "chunk_id", "left_semi").select("chunk_id")
+        terms = self.terms[leaf]
+        if leaf.exact:
+            return phrase(index, terms, leaf.field, self.facts) if terms else index.postings.select("chunk_id").limit(0)
+        return _zoned(index.postings.filter(F.col("term") == terms[0]), leaf.field).select("chunk_id") if terms else None
+
+    def size(self, leaf: Leaf | None) -> int:
+        """What a part is expected to hold: the documents of a leaf's terms, or all chunks."""
+        plain = leaf is not None and not leaf.field and not leaf.nowhere
+        return sum(self.facts.get(t, {}).get("text", 0) for t in self.terms[leaf]) if plain else self.index.n
+
+    def held(self) -> tuple[DataFrame, list[tuple[str, Column, list[str]]]]:
+        """All chunks with the leaves that each fulfils; and every part in turn: (name, predicate, for AND its operands by size)."""
+        found: dict[Leaf, Column] = {}
+        tables: list[DataFrame] = []
+        for x in self.parts:
+            if isinstance(x, Leaf) and x not in found:
+                rows = None if x.nowhere else self.rows(x)
+                if rows is None:
+                    found[x] = F.lit(not x.nowhere)
+                else:
+                    found[x] = F.array_contains("leaves", len(tables))
+                    tables.append(rows.select("chunk_id", F.lit(len(tables)).alias("leaf")))
+        universe, none = self.index.chunk_stats.select("chunk_id"), F.array().cast("array<int>")
+        if tables:
+            by_chunk = reduce(DataFrame.unionByName, tables).groupBy("chunk_id").agg(F.collect_set("leaf").alias("leaves"))
+            universe = universe.join(by_chunk, "chunk_id", "left").select("chunk_id", F.coalesce("leaves", none).alias("leaves"))
+        else:
+            universe = universe.withColumn("leaves", none)
+        steps, stack = [], []
+        for x in self.parts:
+            if isinstance(x, Leaf):
+                stack.append((found[x], self.size(x), str(x)))
+                steps.append((str(x), found[x], []))
+                continue
+            right = stack.pop()
+            left = stack.pop() if x != "NOT" else right
+            p = ~right[0] if x == "NOT" else left[0] & right[0] if x == "AND" else left[0] | right[0]
+            stack.append((p, self.index.n, x))
+            steps.append((x, p, [name for _, _, name in sorted((left, right), key=lambda s: s[1])] if x == "AND" else []))
+        return universe, steps
 
 
 def boolean(index: Index, query: str) -> DataFrame:
     """chunk_id of the chunks that a query holds for."""
-    leaves: list[DataFrame] = []
-
-    def compiled(node: Node) -> Column:
-        if node.kind in ("and", "or", "not"):
-            parts = [compiled(c) for c in node.children]
-            if node.kind == "not":
-                return ~parts[0]
-            return reduce(lambda a, b: a & b, parts) if node.kind == "and" else reduce(lambda a, b: a | b, parts, F.lit(False))
-        rows = _leaf(index, node)
-        if rows is None:
-            return F.lit(True)
-        leaves.append(rows.select("chunk_id", F.lit(len(leaves)).alias("leaf")))
-        return F.array_contains("leaves", len(leaves) - 1)
-
-    predicate = compiled(parse(query))
-    universe = index.chunk_stats.select("chunk_id")
-    if not leaves:
-        return universe.filter(predicate)
-    held = reduce(DataFrame.unionByName, leaves).groupBy("chunk_id").agg(F.collect_set("leaf").alias("leaves"))
-    return universe.join(held, "chunk_id", "left").withColumn("leaves", F.coalesce("leaves", F.array().cast("array<int>"))).filter(predicate).select("chunk_id")
+    universe, steps = Plan(index, query).held()
+    return universe.filter(steps[-1][1]).select("chunk_id")
 
 
 def trace(index: Index, query: str) -> DataFrame:
-    """step, node, n: how many chunks each leaf of a query holds for, in order, and the whole query last."""
-    nodes = []
-    for item in lex(query):
-        if isinstance(item, Node):
-            text = f'"{item.value}"' if item.kind == "phrase" else item.value
-            nodes.append(f"{item.zone}:{text}" if item.zone else text)
-    counts = [boolean(index, t).agg(F.count("*").alias("n")).select(F.lit(i).alias("step"), F.lit(t).alias("node"), "n") for i, t in enumerate([*nodes, query])]
-    return reduce(DataFrame.unionByName, counts)
+    """step, node, n: how many chunks every leaf and operator of a query holds for, operands first; before an AND, a step with the
+    order in which its operands are taken, the rarer first, and their number. The last step is the query. One job counts all."""
+    universe, steps = Plan(index, query).held()
+    counts = universe.agg(*[F.count_if(p).alias(f"n{i}") for i, (_, p, _) in enumerate(steps)])
+    rows = []
+    for i, (name, _, order) in enumerate(steps):
+        if order:
+            rows.append((f"order {' -> '.join(order)}", F.lit(len(order)).cast("long")))
+        rows.append((name, F.col(f"n{i}")))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(name).alias("node"), n.alias("n")) for k, (name, n) in enumerate(rows)])).alias("r")).select("r.*")

@@ -16,6 +16,11 @@ TABLE_LINE = r"(?i)(\|.*\|)|(\$?\s*[0-9][0-9,.]*\s*(B|M|%|million|billion))"
 _RAW = AnalyzerConfig(stemming=False, remove_stopwords=False)
 
 
+def mark_of(i: int) -> str:
+    """What stands for an abbreviation while sentences are cut: no text has it, and it ends in no point."""
+    return f"\ue100{chr(0x61 + i)}\ue101"
+
+
 def n_tokens(text: Column, finance: bool = False) -> Column:
     return F.size(tokens(text, AnalyzerConfig(stemming=False, remove_stopwords=False, finance_mode=finance)))
 
@@ -28,12 +33,12 @@ def finance_sentences(text: Column) -> Column:
     """Sentences line by line; table lines stay whole, and abbreviations end nothing."""
     def marked(t: Column) -> Column:
         for i, a in enumerate(ABBREVIATIONS):
-            t = F.replace(t, F.lit(a), F.lit(f"__ABBR{i}__"))
+            t = F.replace(t, F.lit(a), F.lit(mark_of(i)))
         return t
 
     def restored(t: Column) -> Column:
         for i, a in enumerate(ABBREVIATIONS):
-            t = F.replace(t, F.lit(f"__ABBR{i}__"), F.lit(a))
+            t = F.replace(t, F.lit(mark_of(i)), F.lit(a))
         return t
 
     lines = F.filter(F.transform(F.split(marked(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import analyze
 from tessera.operators.index import Index, effective_tf
 from tessera.plans.config import SearchConfig
+from tessera.plans.storage import written
+
+#: Rows of query terms up to which a batch is broadcast (a few MB).
+BROADCAST = 200_000
 
 
 def query_terms(index: Index, queries: DataFrame) -> DataFrame:
@@ -29,39 +33,56 @@ def query_vector(index: Index, terms: DataFrame, keys: list[str], threshold: flo
     return known.withColumn("w", w).withColumn("norm", norm).select(*keys, "term", "df", "idf", "bm25_idf", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(0.0)).alias("qw"))
 
 
-def term_scores(index: Index, qvec: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """qid, term, chunk_id, w: what each query term adds to each chunk that holds it."""
-    found = index.postings.select("term", "chunk_id", "tf", "tf_title")
-    if config.champions and index.config.champions:
-        found = found.join(index.champions, ["term", "chunk_id"], "left_semi")
+def small(df: DataFrame) -> DataFrame:
+    """df written and counted, to be broadcast if it has at most BROADCAST rows: a batch of queries, not a corpus."""
+    kept = written(df, "queries")
+    return F.broadcast(kept) if kept.count() <= BROADCAST else kept
+
+
+def term_scores(index: Index, qvec: DataFrame, config: SearchConfig = SearchConfig(), *more: str) -> DataFrame:
+    """qid, term, chunk_id, w (and more columns of the postings): what each query term adds to each chunk that holds it."""
+    found = (index.champions if config.champions and index.config.champions else index.postings).select("term", "chunk_id", "tf", "tf_title", "length", "norm", *more)
     eff = effective_tf(index.config.zone_weight)
     if config.method == "bm25":
         length = 1 - config.b + config.b * F.col("length") / max(index.avg_length, 1e-9)
         weight = F.col("qw") * F.col("bm25_idf") * eff * (config.k1 + 1) / (eff + config.k1 * length)
     else:
         weight = F.col("qw") * (1 + F.log(eff)) / F.col("norm")
-    return qvec.join(found, "term").join(index.chunk_stats.select("chunk_id", "length", "norm"), "chunk_id").select("qid", "term", "chunk_id", weight.alias("w"))
+    return found.join(qvec, "term").select("qid", "term", "chunk_id", weight.alias("w"), *more)
+
 
+def close_pairs(lists: Column, window: int) -> Column:
+    """How many pairs of position lists come within window of each other: one sweep over all positions in order."""
+    marked = F.flatten(F.transform(lists, lambda ps, i: F.transform(ps, lambda p: F.struct(p.alias("p"), i.alias("i")))))
 
-def proximity(index: Index, qvec: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
-    """qid, chunk_id, close: term pairs within window positions, for candidates (qid, chunk_id)."""
-    held = qvec.select("qid", "term").join(index.postings.select("term", "chunk_id", "positions"), "term").join(candidates, ["qid", "chunk_id"], "left_semi")
-    a = held.select("qid", "chunk_id", F.col("term").alias("t1"), F.col("positions").alias("p1"))
-    b = held.select("qid", "chunk_id", F.col("term").alias("t2"), F.col("positions").alias("p2"))
-    near = F.exists("p1", lambda x: F.exists("p2", lambda y: F.abs(x - y) <= window))
-    return a.join(b, ["qid", "chunk_id"]).filter((F.col("t1") < F.col("t2")) & near).groupBy("qid", "chunk_id").agg(F.count("*").alias("close"))
+    def near(at: Column) -> Column:
+        # at most two occurrences share a position, so what is close is among the next 2 * window
+        ahead = lambda x, k: F.filter(F.slice(at, k + 2, 2 * window), lambda y: (y["p"] - x["p"] <= window) & (y["i"] != x["i"]))
+        pairs = F.transform(at, lambda x, k: F.transform(ahead(x, k), lambda y: F.struct(F.least(x["i"], y["i"]).alias("a"), F.greatest(x["i"], y["i"]).alias("b"))))
+        return F.size(F.array_distinct(F.flatten(pairs)))
+
+    return F.transform(F.array(F.array_sort(marked)), near)[0]
 
 
 def components(index: Index, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """qid, chunk_id, base, proximity, g of every chunk that holds a query term; what has no weight is zero."""
-    qvec = query_vector(index, query_terms(index, queries), ["qid"], config.eliminate)
-    base = term_scores(index, qvec, config).groupBy("qid", "chunk_id").agg(F.sum("w").alias("base"), F.count("*").alias("matched"))
-    scored = base.withColumn("proximity", F.lit(0.0))
-    if config.proximity_weight > 0:
-        used = qvec.groupBy("qid").agg(F.count("*").alias("used"))
-        close = proximity(index, qvec, base.filter("matched >= 2").select("qid", "chunk_id"), config.proximity_window)
-        share = F.coalesce(F.col("close") / (F.col("used") * (F.col("used") - 1) / 2), F.lit(0.0))
-        scored = base.join(close, ["qid", "chunk_id"], "left").join(used, "qid").withColumn("proximity", share)
+    """qid, chunk_id, base, proximity, g of every chunk that holds a query term; what has no weight is zero. One aggregate
+    gathers all that a query and a chunk share."""
+    qvec = small(query_vector(index, query_terms(index, queries), ["qid"], config.eliminate).withColumn("used", F.count("*").over(Window.partitionBy("qid"))))
+    near = config.proximity_weight > 0
+    lists = F.collect_list("positions").alias("lists")
+    if near and config.champions and index.config.champions:
+        # champions carry no positions: all those of the chunks that two champions met are looked up
+        base = term_scores(index, qvec, config).groupBy("qid", "chunk_id").agg(F.sum("w").alias("base"), F.count("*").alias("matched"))
+        held = index.postings.select("term", "chunk_id", "positions").join(qvec.select("qid", "term"), "term").join(base.filter("matched >= 2").select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi")
+        scored = base.join(held.groupBy("qid", "chunk_id").agg(lists), ["qid", "chunk_id"], "left")
+    else:
+        scored = term_scores(index, qvec, config, *["positions"] * near).groupBy("qid", "chunk_id").agg(F.sum("w").alias("base"), *[lists] * near)
+    if near:
+        used = qvec.select("qid", "used").distinct()
+        share = F.when(F.size("lists") >= 2, close_pairs(F.col("lists"), config.proximity_window) / (F.col("used") * (F.col("used") - 1) / 2)).otherwise(F.lit(0.0))
+        scored = scored.join(F.broadcast(used) if used.count() <= BROADCAST else used, "qid").withColumn("proximity", share)
+    else:
+        scored = scored.withColumn("proximity", F.lit(0.0))
     if config.static_weight > 0:
         scored = scored.join(index.chunk_stats.select("chunk_id", "g"), "chunk_id")
     else:

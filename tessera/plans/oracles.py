@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 from tessera.functions.stemmer import DUCKDB, Rules
-from tessera.functions.text import ACCENTED, FINANCE_FILING, FINANCE_KEEP, FINANCE_NUMBER, FINANCE_PERIOD, FINANCE_TICKER, NEGATORS, NUMERIC_CLAIM, PLAIN, STOPWORDS
+from tessera.functions.text import ACCENTED, FINANCE_FILING, FINANCE_KEEP, FINANCE_NUMBER, FINANCE_PERIOD, FINANCE_TICKER, NEGATORS, NUMERIC_CLAIM, PLAIN, SEVERAL, STOPWORDS
+from tessera.operators.chunking import ABBREVIATIONS
+from tessera.operators.chunking import mark_of as _mark
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS if "'" not in w and w not in NEGATORS)
@@ -13,7 +15,10 @@ _STOP_FINANCE = ", ".join(f"'{w}'" for w in STOPWORDS if "'" not in w and w not
 
 
 def _norm(t: str, kept: str = r"[^\p{L}\p{N}_]+") -> str:
-    return f"trim(regexp_replace(translate(replace(lower({t}), 'ß', 'ss'), '{ACCENTED}', '{PLAIN}'), '{kept}', ' ', 'g'))"
+    folded = f"lower({t})"
+    for letter, letters in SEVERAL:
+        folded = f"replace({folded}, '{letter}', '{letters}')"
+    return f"trim(regexp_replace(translate({folded}, '{ACCENTED}', '{PLAIN}'), '{kept}', ' ', 'g'))"
 
 
 _FIN = r"[^\p{L}\p{N}_$%/-]+"
@@ -40,7 +45,7 @@ STEPS = {
     "zones": "SELECT chunk_id, 0 AS gap, title AS t FROM chunks UNION ALL SELECT chunk_id, 1000, text FROM chunks",
     "zt": f"SELECT chunk_id, gap, {_toks('t')} AS w FROM zones",
     "occ": "SELECT chunk_id, unnest(range(0, len(w))) + gap AS p, unnest(w) AS token FROM zt",
-    "qs": "SELECT item_id::VARCHAR AS qid, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM benchmark",
+    "qs": "SELECT item_id::VARCHAR AS qid, text FROM benchmark",
     "qw": f"SELECT qid, {_toks('text')} AS w FROM qs",
     "qtok": "SELECT qid, unnest(w) AS token FROM qw",
     "vocab": "SELECT DISTINCT token FROM (SELECT token FROM occ UNION ALL SELECT token FROM qtok)",
@@ -71,12 +76,11 @@ STEPS = {
     "per": "SELECT qid, sum(1 / log2(rank + 1)) FILTER (rank <= 10) / sum(1 / log2(h + 1)) FILTER (rank <= 10) AS ndcg, count(*) FILTER (rank <= 5) / 5 AS p5, count(*) FILTER (rank <= 10) / 10 AS p10, count(*) FILTER (rank <= 100) AS h100, 1 / min(rank) AS mrr, sum(h / rank) AS cum FROM hits GROUP BY qid",
     "total": "SELECT qid, count(DISTINCT doc_id) AS total FROM rels GROUP BY qid",
 }
-_ABBR = ("Corp.", "Inc.", "Ltd.", "U.S.", "U.K.", "e.g.", "i.e.", "vs.")
 
 
 def _replaced(t: str, back: bool = False) -> str:
-    for i, a in enumerate(_ABBR):
-        old, new = (f"__ABBR{i}__", a) if back else (a, f"__ABBR{i}__")
+    for i, a in enumerate(ABBREVIATIONS):
+        old, new = (_mark(i), a) if back else (a, _mark(i))
         t = f"replace({t}, '{old}', '{new}')"
     return t
 
@@ -207,7 +211,13 @@ LEFT JOIN (SELECT term, string_agg(chunk_id, ' ' ORDER BY i) AS s FROM (SELECT t
 LEFT JOIN (SELECT term, string_agg(chunk_id, ' ' ORDER BY rnk) AS c FROM champs WHERE rnk <= 8 GROUP BY term) USING (term)"""),
     "explain_contributions": sql("SELECT qid, chunk_id, term, round(qw * (1 + ln(tf + tf_title)) / norm, 6) AS w FROM qvec JOIN postings USING (term) JOIN stats USING (chunk_id) SEMI JOIN top USING (qid, chunk_id)"),
     "bool_zone_phrase": sql("SELECT a.chunk_id FROM (SELECT chunk_id, unnest(ps) AS p FROM postings WHERE term = 'onin') a JOIN (SELECT chunk_id, unnest(ps) AS p FROM postings WHERE term = 'thnt') b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 WHERE a.p >= 1000 GROUP BY a.chunk_id"),
-    "bool_trace": sql(f"SELECT 0::BIGINT AS step, 'ererin' AS node, (SELECT count(*) FROM ({_leaf('ererin')})) AS n UNION ALL SELECT 1, 'onin', (SELECT count(*) FROM ({_leaf('onin')})) UNION ALL SELECT 2, 'ererin AND onin', (SELECT count(*) FROM ({_leaf('ererin')} INTERSECT {_leaf('onin')}))"),
+    "bool_trace": sql(f"""SELECT step::BIGINT AS step, node, n::BIGINT AS n FROM (
+SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS step,
+  unnest(['ererin', 'onin', 'theand', 'OR', 'NOT', CASE WHEN a <= every THEN 'order ererin -> NOT' ELSE 'order NOT -> ererin' END, 'AND']) AS node,
+  unnest([a, b, c, either, every - either, 2, common]) AS n
+FROM (SELECT (SELECT count(*) FROM ({_leaf('ererin')})) AS a, (SELECT count(*) FROM ({_leaf('onin')})) AS b, (SELECT count(*) FROM ({_leaf('theand')})) AS c,
+  (SELECT count(*) FROM ({_leaf('onin')} UNION {_leaf('theand')})) AS either, (SELECT count(*) FROM stats) AS every,
+  (SELECT count(*) FROM ({_leaf('ererin')} EXCEPT ({_leaf('onin')} UNION {_leaf('theand')}))) AS common))"""),
     "sentence_candidates": sql("SELECT qid, rank::BIGINT AS rank, n::BIGINT AS pos, chunk_id, text, relevance FROM cand"),
     "mmr_answer": sql("SELECT qid, turn::BIGINT AS turn, rank::BIGINT AS rank, n::BIGINT AS pos, chunk_id, text, relevance FROM (SELECT * FROM m1 UNION ALL BY NAME SELECT * FROM m2 UNION ALL BY NAME SELECT * FROM m3)"),
     "answer_vector": sql("SELECT qid, term, round((1 + ln(f)) / sqrt(sum((1 + ln(f)) ** 2) OVER (PARTITION BY qid)), 6) AS weight FROM qt"),
@@ -228,11 +238,3 @@ LEFT JOIN (SELECT term, string_agg(chunk_id, ' ' ORDER BY rnk) AS c FROM champs
 FROM (SELECT qid, unnest(range(0, len(ss))) AS pos, unnest(ss) AS s FROM (SELECT qid, {_sents("replace(text, chr(10), ' ')")} AS ss FROM (SELECT conv_id || '/' || turn AS qid, regexp_replace(text, '([a-z])\\.', '\\1 [2][9].', 'g') AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)))) WHERE text <> ''""",
 }
 
-
-def _whole(query: str) -> str:
-    """The SQL of a query over the items' whole texts; judgements stay those of their first twelve words."""
-    heads = STEPS["rels"].replace("docs, qs WHERE contains(docs.text, qs.text)", f"docs, ({STEPS['qs']}) heads WHERE contains(docs.text, heads.text)")
-    return query.replace(STEPS["rels"], "\0").replace(STEPS["qs"], "SELECT item_id::VARCHAR AS qid, text FROM benchmark").replace("\0", heads)
-
-
-ORACLES |= {f"{name}_whole": _whole(ORACLES[name]) for name in ("search_tfidf", "search_bm25", "search_proximity", "claim_cosine", "verify_claims", "support_scores", "verdict_counts", "verifier_scores", "tune_threshold", "tune_penalty")}

@@ -38,10 +38,6 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("qid"), "text")
 
 
-def short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).select("qid", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
-
-
 @lru_cache(maxsize=4)
 def _index(application: str, sf_dir: str) -> I.Index:
     spark = SparkSession.getActiveSession()
@@ -54,22 +50,21 @@ def index(spark: SparkSession, sf_dir: str) -> I.Index:
 
 
 @lru_cache(maxsize=16)
-def _ranked(application: str, sf_dir: str, config: SearchConfig, whole: bool = False) -> DataFrame:
+def _ranked(application: str, sf_dir: str, config: SearchConfig) -> DataFrame:
     spark = SparkSession.getActiveSession()
-    return written(S.search(index(spark, sf_dir), (_items if whole else short_queries)(spark, sf_dir), config), "ranked")
+    return written(S.search(index(spark, sf_dir), _items(spark, sf_dir), config), "ranked")
 
 
-def ranked(spark: SparkSession, sf_dir: str, config: SearchConfig = SearchConfig(), whole: bool = False) -> DataFrame:
-    """Searches of the items' first twelve words, or of their whole texts."""
-    return _ranked(spark.sparkContext.applicationId, sf_dir, config, whole)
+def ranked(spark: SparkSession, sf_dir: str, config: SearchConfig = SearchConfig()) -> DataFrame:
+    return _ranked(spark.sparkContext.applicationId, sf_dir, config)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c).cast("bigint").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
 
 
-def _search(whole: bool = False, **options):
-    return lambda spark, sf_dir: _rounded(ranked(spark, sf_dir, SearchConfig(**options), whole).select("qid", "rank", "chunk_id", "score"))
+def _search(**options):
+    return lambda spark, sf_dir: _rounded(ranked(spark, sf_dir, SearchConfig(**options)).select("qid", "rank", "chunk_id", "score"))
 
 
 def _chunks(strategy: str):
@@ -105,32 +100,32 @@ def finance_flags(docs: DataFrame) -> DataFrame:
     return t.select("token", T.is_finance_token(F.col("token")).alias("finance"), F.col("token").rlike(T.NUMERIC_CLAIM).alias("number"))
 
 
-def holding(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """qid, doc_id: the documents whose text contains a head (qid, head of at most twelve words, split at spaces).
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """qid, doc_id: the documents whose text contains an item's whole text (qid, text).
 
-    A text that contains a head holds all of its words but the first and the last as they are, side by side. Hashes of such
-    runs are equi-joined, and what meets is compared.
+    A text that contains an item holds all of its words but the first and the last as they are, side by side. Hashes of a run of
+    at most ten of them are equi-joined, and what meets is compared as a whole.
     """
-    words = F.split("head", " ")
-    length = F.greatest(F.size(words) - 2, F.lit(0))
-    runs = heads.select("qid", "head", length.alias("length"), F.xxhash64(F.array_join(F.slice(words, 2, length), " ")).alias("key"))
+    words = F.split("text", " ")
+    length = F.least(F.greatest(F.size(words) - 2, F.lit(0)), F.lit(10))
+    runs = items.select("qid", F.col("text").alias("item"), length.alias("length"), F.xxhash64(F.array_join(F.slice(words, 2, length), " ")).alias("key"))
     lengths = sorted(r.length for r in runs.select("length").distinct().collect())  # 0 to 10
     hashed = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
     none = F.array().cast("array<bigint>")
     keys = [F.when(F.size("w") >= n, F.array_distinct(hashed(n))).otherwise(none) if n else F.array(F.xxhash64(F.lit(""))) for n in lengths]
     split = docs.select("doc_id", F.split("text", " ").alias("w"))
-    met = split.select("doc_id", F.explode(F.flatten(F.array(none, *keys))).alias("key")).join(runs, "key").select("doc_id", "qid", "head").distinct()
-    return met.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "head")).select("qid", "doc_id")
+    met = split.select("doc_id", F.explode(F.flatten(F.array(none, *keys))).alias("key")).join(runs, "key").select("doc_id", "qid", "item").distinct()
+    return met.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "item")).select("qid", "doc_id")
 
 
 @lru_cache(maxsize=4)
 def _qrels(application: str, sf_dir: str) -> DataFrame:
     spark = SparkSession.getActiveSession()
-    return written(holding(corpus(spark, sf_dir), short_queries(spark, sf_dir).withColumnRenamed("text", "head")), "qrels")
+    return written(holding(corpus(spark, sf_dir), _items(spark, sf_dir)), "qrels")
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, doc_id: the documents that hold an item's first twelve words as they are."""
+    """qid, doc_id: the documents that hold an item's text as it is."""
     return _qrels(spark.sparkContext.applicationId, sf_dir)
 
 
@@ -139,24 +134,24 @@ def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.query_metrics(docs, qrels(spark, sf_dir)))
 
 
-def claims(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return (_items if whole else short_queries)(spark, sf_dir).withColumnRenamed("qid", "cid")
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).withColumnRenamed("qid", "cid")
 
 
-def claim_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0), whole).filter("rank <= 5")
-    scored = V.claim_scores(index(spark, sf_dir), claims(spark, sf_dir, whole), top.select(F.col("qid").alias("cid"), "chunk_id"))
+def claim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0)).filter("rank <= 5")
+    scored = V.claim_scores(index(spark, sf_dir), claims(spark, sf_dir), top.select(F.col("qid").alias("cid"), "chunk_id"))
     return _rounded(scored.select("cid", "chunk_id", "cosine", "penalty", F.array_join("novel", " ").alias("novel")))
 
 
-def verify_claims(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0), whole).filter("rank <= 5")
-    return _rounded(V.verify_claims(index(spark, sf_dir), claims(spark, sf_dir, whole), top))
+def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0)).filter("rank <= 5")
+    return _rounded(V.verify_claims(index(spark, sf_dir), claims(spark, sf_dir), top))
 
 
 def mmr_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = ranked(spark, sf_dir).filter("rank <= 5")
-    return _rounded(V.answer(index(spark, sf_dir), top, short_queries(spark, sf_dir)).select("qid", "turn", "rank", "pos", "chunk_id", "text", "relevance"))
+    return _rounded(V.answer(index(spark, sf_dir), top, _items(spark, sf_dir)).select("qid", "turn", "rank", "pos", "chunk_id", "text", "relevance"))
 
 
 def verify_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,54 +211,54 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qrels(spark, sf_dir).select("qid", "doc_id", F.array(F.lit(0), (n % 3).cast("int")).alias("sentences"), F.when(n % 2 == 0, "SUPPORT").otherwise("CONTRADICT").alias("label"))
 
 
-def verifier_items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return VE.items((_items if whole else short_queries)(spark, sf_dir), evidence(spark, sf_dir))
+def verifier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VE.items(_items(spark, sf_dir), evidence(spark, sf_dir))
 
 
 @lru_cache(maxsize=4)
-def _verifier_scores(application: str, sf_dir: str, whole: bool = False) -> DataFrame:
+def _verifier_scores(application: str, sf_dir: str) -> DataFrame:
     spark = SparkSession.getActiveSession()
-    return written(VE.scores(index(spark, sf_dir), verifier_items(spark, sf_dir, whole), ranked(spark, sf_dir, whole=whole)), "verifier-scores")
+    return written(VE.scores(index(spark, sf_dir), verifier_items(spark, sf_dir), ranked(spark, sf_dir)), "verifier-scores")
 
 
-def verifier_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _verifier_scores(spark.sparkContext.applicationId, sf_dir, whole)
+def verifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verifier_scores(spark.sparkContext.applicationId, sf_dir)
 
 
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, top = index(spark, sf_dir), ranked(spark, sf_dir).filter("rank <= 5")
-    said = V.answer(x, top, short_queries(spark, sf_dir))
+    said = V.answer(x, top, _items(spark, sf_dir))
     return _rounded(VE.evidence_recall(x, verifier_items(spark, sf_dir), evidence(spark, sf_dir), top, said))
 
 
-def support_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    scored = claim_scores(spark, sf_dir, whole)
+def support_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = claim_scores(spark, sf_dir)
     return _rounded(scored.select("cid", "chunk_id", *[V.support(F.col("cosine"), F.col("penalty"), 0.6, f).alias(f) for f in ("mul", "sub")]))
 
 
 def describe_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = index(spark, sf_dir)
-    found = I.describe_term(x, S.query_terms(x, short_queries(spark, sf_dir)).select("term"))
+    found = I.describe_term(x, S.query_terms(x, _items(spark, sf_dir)).select("term"))
     listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), " "), F.lit("")).alias(c)
     return _rounded(found.select("term", "df", "idf", listed("postings", lambda p: p["chunk_id"]), listed("skips", lambda p: p["chunk_id"]), listed("champions", lambda p: p)))
 
 
 def sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = ranked(spark, sf_dir).filter("rank <= 5")
-    return _rounded(V.sentence_candidates(index(spark, sf_dir), top, short_queries(spark, sf_dir)))
+    return _rounded(V.sentence_candidates(index(spark, sf_dir), top, _items(spark, sf_dir)))
 
 
 def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.build_prompt(index(spark, sf_dir), ranked(spark, sf_dir).filter("rank <= 3"), short_queries(spark, sf_dir))
+    return V.build_prompt(index(spark, sf_dir), ranked(spark, sf_dir).filter("rank <= 3"), _items(spark, sf_dir))
 
 
 def answer_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(V.unit_vector(S.query_terms(index(spark, sf_dir), short_queries(spark, sf_dir)), ["qid"]))
+    return _rounded(V.unit_vector(S.query_terms(index(spark, sf_dir), _items(spark, sf_dir)), ["qid"]))
 
 
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = ranked(spark, sf_dir, SearchConfig(proximity_weight=0.0))
-    return _rounded(S.contributions(index(spark, sf_dir), short_queries(spark, sf_dir), top))
+    return _rounded(S.contributions(index(spark, sf_dir), _items(spark, sf_dir), top))
 
 
 QUERIES = {
@@ -274,7 +269,7 @@ QUERIES = {
     "porter_stem": _texts(porter_stem),
     "split_sentences": _texts(split_sentences),
     "table_lines": _texts(lambda d: d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(is_table_line(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))),
-    "query_words": lambda s, d: short_queries(s, d).select("qid", F.array_join(T.query_words(F.col("text")), " ").alias("words")),
+    "query_words": lambda s, d: _items(s, d).select("qid", F.array_join(T.query_words(F.col("text")), " ").alias("words")),
     "excerpt": lambda s, d: _items(s, d).select("qid", T.excerpt(F.col("text"), F.array(F.lit("the"), F.lit("and"))).alias("excerpt")),
     "highlight": lambda s, d: _items(s, d).select("qid", T.highlight(F.col("text"), ["the", "and"]).alias("marked")),
     "chunk_whole": _chunks("whole"),
@@ -286,13 +281,13 @@ QUERIES = {
     "doc_norms": _on_index(lambda x: x.chunk_stats.select("chunk_id", "length", "title_length", "norm")),
     "static_quality": _on_index(lambda x: x.chunk_stats.select("chunk_id", "g")),
     "corpus_stats": _on_index(lambda x: x.chunk_stats.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))),
-    "champion_lists": _on_index(lambda x: x.champions),
+    "champion_lists": _on_index(lambda x: x.champions.select("term", "chunk_id", "rnk")),
     "skip_plan": _on_index(lambda x: I.skip_plan(x.postings, x.term_stats)),
     "build_stats": _on_index(I.build_stats),
-    "query_vector": lambda s, d: _rounded(S.query_vector(index(s, d), S.query_terms(index(s, d), short_queries(s, d)), ["qid"]).select("qid", "term", "qw")),
-    "index_elimination": lambda s, d: S.eliminated(index(s, d), S.query_terms(index(s, d), short_queries(s, d)), 0.05),
-    "explain_terms": lambda s, d: _rounded(S.explain(index(s, d), short_queries(s, d))),
-    "match_count": lambda s, d: S.match_count(index(s, d), short_queries(s, d)),
+    "query_vector": lambda s, d: _rounded(S.query_vector(index(s, d), S.query_terms(index(s, d), _items(s, d)), ["qid"]).select("qid", "term", "qw")),
+    "index_elimination": lambda s, d: S.eliminated(index(s, d), S.query_terms(index(s, d), _items(s, d)), 0.05),
+    "explain_terms": lambda s, d: _rounded(S.explain(index(s, d), _items(s, d))),
+    "match_count": lambda s, d: S.match_count(index(s, d), _items(s, d)),
     "search_tfidf": _search(proximity_weight=0.0),
     "search_bm25": _search(method="bm25", proximity_weight=0.0),
     "search_champions": _search(champions=True, proximity_weight=0.0),
@@ -320,41 +315,27 @@ QUERIES = {
     "ingest_docs": ingest_docs,
     "surrogate_id": _texts(lambda d: d.select("doc_id", surrogate_id(F.lit("folder/file.txt"), F.col("text")).alias("id"))),
     "qrels": qrels,
-    "query_terms": lambda s, d: _rounded(S.query_terms(index(s, d), short_queries(s, d)).select("qid", "pos", "term")),
+    "query_terms": lambda s, d: _rounded(S.query_terms(index(s, d), _items(s, d)).select("qid", "pos", "term")),
     "describe_term": describe_terms,
     "explain_contributions": contributions,
     "bool_zone_phrase": lambda s, d: B.phrase(index(s, d), ["onin", "thnt"], "body"),
-    "bool_trace": lambda s, d: _rounded(B.trace(index(s, d), "ererin AND onin")),
+    "bool_trace": lambda s, d: _rounded(B.trace(index(s, d), "ererin AND NOT (onin OR theand)")),
     "sentence_candidates": sentence_candidates,
     "build_prompt": build_prompt,
     "answer_vector": answer_vector,
     "support_scores": support_scores,
     "verdict_counts": lambda s, d: V.verdict_counts(verify_claims(s, d)),
-    "split_qids": lambda s, d: E.split_qids(short_queries(s, d).select("qid")),
+    "split_qids": lambda s, d: E.split_qids(_items(s, d).select("qid")),
     "verifier_items": lambda s, d: verifier_items(s, d).select("qid", "doc_id", "label"),
     "verifier_scores": lambda s, d: _rounded(verifier_scores(s, d).select("qid", "doc_id", "label", "cosine", "penalty", "jaccard")),
     "score_histogram": lambda s, d: VE.histogram(verifier_scores(s, d)),
     "tune_threshold": lambda s, d: _rounded(E.best_threshold(E.threshold_sweep(verifier_scores(s, d), "cosine"))),
     "tune_penalty": lambda s, d: _rounded(VE.best_penalty(VE.penalty_grid(verifier_scores(s, d)))),
     "binary_metrics": lambda s, d: _rounded(VE.binary_metrics(verifier_scores(s, d), "jaccard", 0.05)),
-    "eval_verifier": lambda s, d: _rounded(VE.report(verifier_scores(s, d), E.split_qids(short_queries(s, d).select("qid")))),
+    "eval_verifier": lambda s, d: _rounded(VE.report(verifier_scores(s, d), E.split_qids(_items(s, d).select("qid")))),
     "hit_at_k": lambda s, d: _rounded(VE.hit_at_k(index(s, d), verifier_items(s, d), ranked(s, d))),
     "evidence_recall": evidence_recall,
-    "tune_proximity": lambda s, d: _rounded(TU.proximity_grid(index(s, d), short_queries(s, d), qrels(s, d))),
-    "ablation": lambda s, d: _rounded(TU.ablation(corpus(s, d), short_queries(s, d), qrels(s, d))),
-    "chunk_ablation": lambda s, d: _rounded(TU.chunk_ablation(corpus(s, d), short_queries(s, d), qrels(s, d))),
-}
-#: The same over the items' whole texts; only the judgements (qrels) stay those of the first twelve words.
-QUERIES |= {
-    "search_tfidf_whole": _search(True, proximity_weight=0.0),
-    "search_bm25_whole": _search(True, method="bm25", proximity_weight=0.0),
-    "search_proximity_whole": _search(True),
-    "claim_cosine_whole": lambda s, d: claim_scores(s, d, True),
-    "verify_claims_whole": lambda s, d: verify_claims(s, d, True),
-    "support_scores_whole": lambda s, d: support_scores(s, d, True),
-    "verdict_counts_whole": lambda s, d: V.verdict_counts(verify_claims(s, d, True)),
-    "verifier_scores_whole": lambda s, d: _rounded(verifier_scores(s, d, True).select("qid", "doc_id", "label", "cosine", "penalty", "jaccard")),
-    "tune_threshold_whole": lambda s, d: _rounded(E.best_threshold(E.threshold_sweep(verifier_scores(s, d, True), "cosine"))),
-    "tune_penalty_whole": lambda s, d: _rounded(VE.best_penalty(VE.penalty_grid(verifier_scores(s, d, True)))),
-    "eval_verifier_whole": lambda s, d: _rounded(VE.report(verifier_scores(s, d, True), E.split_qids(_items(s, d).select("qid")))),
+    "tune_proximity": lambda s, d: _rounded(TU.proximity_grid(index(s, d), _items(s, d), qrels(s, d))),
+    "ablation": lambda s, d: _rounded(TU.ablation(corpus(s, d), _items(s, d), qrels(s, d))),
+    "chunk_ablation": lambda s, d: _rounded(TU.chunk_ablation(corpus(s, d), _items(s, d), qrels(s, d))),
 }

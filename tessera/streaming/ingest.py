@@ -28,7 +28,7 @@ def index_stream(docs: DataFrame, target: str, checkpoint: str, config: IndexCon
         where = f"batch={number}"
         chunk(batch.dropDuplicates(["doc_id"]), config).write.mode("overwrite").parquet(f"{target}/chunks/{where}")
         written = batch.sparkSession.read.parquet(f"{target}/chunks/{where}")
-        I.postings_of(written, config.analyzer).write.mode("overwrite").parquet(f"{target}/postings/{where}")
+        I.clustered(I.postings_of(written, config)).write.mode("overwrite").parquet(f"{target}/postings/{where}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
