@@ -11,7 +11,7 @@ from tessera.llm.quality import BOILERPLATE, NAVIGATION, SYMBOLS, QualityRules,
 from tessera.llm.simhash import op3_simhash
 from tessera.llm.substring import op6_substring
 from tessera.llm.topk import op2_topk
-from tessera.llm.urls import RULES, op7_urls
+from tessera.llm.urls import LISTED_LABELS, RULES, op7_urls
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -64,8 +64,11 @@ WITH p AS (
 m AS (
   SELECT host, path, max_by(struct_pack(rule, verdict), length(rule)) AS b
   FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path
-)
-SELECT page_id, p.host, p.path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (host, path)
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^www\\.', ''), ':\\d+$', '') || regexp_replace(path, '/$', '') AS canonical FROM p
+), l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), {list(LISTED_LABELS)}))
+SELECT page_id, c.host, c.path, b.rule AS rule, coalesce(b.verdict, CASE WHEN l.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM c LEFT JOIN m USING (host, path) LEFT JOIN l USING (canonical)
 """
 
 _R = QualityRules()
