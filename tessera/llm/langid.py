@@ -14,7 +14,9 @@ Prediction handles the distinct new words of a batch together, as matrices of wo
 to a bound. The model is one number for each piece and language; nothing else is sent to the executors or shuffled.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no training document all are `und`; ties
-go to the first language in order; texts of any length are read whole; an empty table gives an empty table.
+go to the first language in order; texts of any length are read whole; repeated rows get equal results, and in training rows
+that repeat an id count once; an empty table gives an empty table; other columns pass through, but for those named like a
+result column (lang_pred, score), which the result replaces.
 """
 
 from __future__ import annotations
@@ -163,7 +165,8 @@ def train(docs: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE,
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = known.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    texts = known.join(F.broadcast(drawn.select("lang", "doc_id")), ["lang", "doc_id"])  # bounded by the sample
+    # bounded by the sample; of rows that repeat an id, the text that comes first counts
+    texts = known.join(F.broadcast(drawn.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
