@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +61,11 @@ def memory(name: str = "", make: Callable[[], object] | None = None):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset and all run on this machine a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,8 +79,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df, written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables written within it that are not to be kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
+    """df, written once to the shared folder and read back: cuts the lineage and survives lost executors. The table goes with its
+    scratch scope (a kept one with the scope around it), or, where there is none, when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     # what the write shuffled is of no use once the table stands
@@ -87,6 +105,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, memory, row_keys, spread, written
+from tessera.llm.common import fresh, memory, row_keys, scratch, spread, written
 from tessera.llm.simhash import SEED, components, fingerprint_of, links, shingle_hashes
 
 #: The similarity is NUM / DEN.
@@ -41,6 +41,8 @@ NUM, DEN = 4, 5
 SHINGLE = 5
 #: A shingle is frequent from FREQUENT documents of a sample of SAMPLE on; MOST such are sent to the workers. They only set the order.
 SAMPLE, FREQUENT, MOST = 5_000, 4, 1_000_000
+#: Shared shingles up to which they are broadcast (8 MB).
+BROADCAST = 1_000_000
 #: Members of a group at one key that are held together.
 CHUNK = 512
 
@@ -148,9 +150,11 @@ def _checked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: in
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """sid, rep (of the row of least id), root of every distinct set; one root is one group."""
-    found = written(_profiles(docs, shingle), "profiles")
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    distinct = written(found.groupBy("sid").agg(F.min(rep).alias("rep"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")]), "distinct")
+    with scratch(docs.sparkSession):
+        found = written(_profiles(docs, shingle), "profiles")
+        one = found.groupBy("sid").agg(F.min(rep).alias("rep"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
+        distinct = written(one, "distinct", keep=True)
 
     # sets of one fingerprint, and of linked ones
     heads = written(distinct.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("head")), "heads")
@@ -162,9 +166,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     # the shingles at which sets that are still apart meet
     labels = distinct.join(named, distinct["sid"] == named["node"], "left").select("sid", "n", "keys", F.coalesce("root", "sid").alias("label"))
-    keyed = written(labels.select("sid", "n", "label", F.explode("keys").alias("key")), "keys")
+    labels = written(labels, "labels")
+    keyed = labels.select("sid", "n", "label", F.explode("keys").alias("key"))
     mixed = written(keyed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("others")).filter("least < most").select("key", "others"), "mixed")
-    met = written(keyed.join(mixed, "key"), "met")
+    met = written(keyed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST else mixed, "key"), "met")
     central = met.groupBy("sid").agg(F.sum("others").alias("central"))
     met = written(met.drop("others").join(central, "sid"), "met")
 
@@ -193,7 +198,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each group: the one of the least id."""
-    kept = written(groups(docs, shingle).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.k1").alias("r1"), F.col("rep.k2").alias("r2")), "kept")
+    with scratch(docs.sparkSession):
+        heads = groups(docs, shingle).groupBy("root").agg(F.min("rep").alias("rep"))
+        kept = written(heads.select(F.col("rep.k1").alias("r1"), F.col("rep.k2").alias("r2")), "kept", keep=True)
     a, b = fresh(docs, "k1", "k2")
     keyed = docs.select("*", *[k.alias(x) for k, x in zip(row_keys(), (a, b), strict=True)])
     return keyed.join(kept, (keyed[a] == kept["r1"]) & (keyed[b] == kept["r2"]), "left_semi").dropDuplicates([a, b]).drop(a, b)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import memory, row_keys, spread, written
+from tessera.llm.common import memory, row_keys, scratch, spread, written
 
 MAX_BITS = 4
 SEED = 42
@@ -236,15 +236,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """doc_id, k1 and k2 (of the row), fp, component_id and keeper (the keys of the row that stands for the component) of every row."""
-    found = written(fingerprints(docs, shingle), "fingerprints")
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    distinct = written(found.groupBy("fp").agg(F.min(rep).alias("rep")), "distinct")
-    comp = written(components(links(distinct.select("fp"), max_bits, hot)), "components")
-    grouped = comp.join(distinct, comp["node"] == distinct["fp"]).select("fp", "root", "rep")
-    heads = grouped.groupBy("root").agg(F.min("rep").alias("head"))
-    named = grouped.join(heads, "root").select(F.col("fp").alias("of"), "head")
-    # written, so that both sides of the last join come straight from files and a hot fingerprint's rows can be split
-    of = written(distinct.join(named, distinct["fp"] == named["of"], "left").select("fp", F.coalesce("head", "rep").alias("head")), "heads")
+    with scratch(docs.sparkSession):
+        found = written(fingerprints(docs, shingle), "fingerprints", keep=True)
+        distinct = written(found.groupBy("fp").agg(F.min(rep).alias("rep")), "distinct")
+        comp = written(components(links(distinct.select("fp"), max_bits, hot)), "components")
+        grouped = comp.join(distinct, comp["node"] == distinct["fp"]).select("fp", "root", "rep")
+        heads = grouped.groupBy("root").agg(F.min("rep").alias("head"))
+        named = grouped.join(heads, "root").select(F.col("fp").alias("of"), "head")
+        # written, so that both sides of the last join come straight from files and a hot fingerprint's rows can be split
+        of = written(distinct.join(named, distinct["fp"] == named["of"], "left").select("fp", F.coalesce("head", "rep").alias("head")), "heads", keep=True)
     return found.join(of, "fp").select("doc_id", "k1", "k2", "fp", F.col("head.doc_id").alias("component_id"), F.struct("head.k1", "head.k2").alias("keeper"))
 
 

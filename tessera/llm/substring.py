@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from tessera.llm.common import WORD, fresh, memory, others, row_keys, spread, written
+from tessera.llm.common import WORD, fresh, memory, others, row_keys, scratch, spread, written
 
 WINDOW = 35
 SEED = 6
@@ -269,9 +269,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
     own = others(docs, *[name for name, _ in new])
     a, b, r = fresh(docs, "k1", "k2", "ranges")
     keyed = docs.select("*", *[k.alias(x) for k, x in zip(row_keys(), (a, b), strict=True)])
-    found = repeated_ranges(keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), "text"), window, seed, hot)
     flat = F.array_distinct(F.flatten(F.collect_set("ranges")))
-    ranges = written(found.groupBy("k1", "k2").agg(flat.alias(r)), "ranges")
+    with scratch(docs.sparkSession):
+        found = repeated_ranges(keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), "text"), window, seed, hot)
+        ranges = written(found.groupBy("k1", "k2").agg(flat.alias(r)), "ranges", keep=True)
     schema = StructType([*docs.select(*own).schema])
     place = [f.name.lower() for f in schema].index("text")
     for name, kind in new:
