@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import scratch, written
 from tessera.llm.neardup import dedup
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import key_of, pseudonymise
@@ -66,12 +66,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("simhash_dedup", simhash_dedup), ("substring_dedup", substring_dedup), ("pii", pii), ("packing", packing)]
-#: Fingerprints and tokenisers are beyond SQL; a brute-force test checks the rows instead.
+#: Fingerprints and tokenisers are beyond SQL; tests/llm/test_reference.py works out the rows in plain Python instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage needed goes when its result stands
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
