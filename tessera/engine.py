@@ -100,7 +100,7 @@ class Engine:
         began, one = time.time(), self._one(query)
         ranked = written(S.search(self.index, one, config), "ranked")
         if generate:
-            said = V.parse_cited(V.generated(V.build_prompt(self.index, ranked, one), generate), ranked.count())
+            said = V.parse_cited(V.generated(V.build_prompt(self.index, ranked, one), generate), ranked)
         else:
             said = V.answer(self.index, ranked, one, sentences).select("qid", F.col("turn").alias("pos"), "text", F.array(F.col("rank").cast("bigint")).alias("citations"), "chunk_id", "relevance")
         said = written(said, "answer")

@@ -162,7 +162,24 @@ def excerpt(text: Column, words: Column, radius: int = 70) -> Column:
     return F.concat(F.when(begin > 0, F.lit("…")).otherwise(F.lit("")), F.trim(F.substring(text, begin + 1, end - begin)), F.when(end < F.length(text), F.lit("…")).otherwise(F.lit("")))
 
 
-def citations(text: Column, n_sources: int) -> Column:
+def escaped(text: Column) -> Column:
+    """Text as it may stand in a page."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def snippet(text: Column, words: list[str], length: int = 240, before: int = 60) -> Column:
+    """A piece of a text for a page, words marked: it begins a little before the first of the words that occurs, the words tried in
+    their order; … stands where more follows or went before. A text that is short enough stays whole."""
+    at = F.get(F.filter(F.array(*[F.instr(F.lower(text), F.lit(w)) for w in words]).cast("array<int>"), lambda p: p > 0), F.lit(0)) - 1
+    begin = F.greatest(F.lit(0), F.coalesce(at, F.lit(0)) - before)
+    marked = lambda t: highlight(escaped(t), words, '<mark class="hit">')
+    cut = F.concat(F.when(begin > 0, F.lit("…")).otherwise(F.lit("")), marked(F.substring(text, begin + 1, F.lit(length))), F.lit("…"))
+    return F.when(F.length(text) <= length, marked(text)).otherwise(cut)
+
+
+def citations(text: Column, n_sources: int | Column) -> Column:
     """The source numbers [n] of a sentence that exist, or the first source."""
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.substring(x, 1, 18).cast("bigint")), lambda n: (n >= 1) & (n <= n_sources))
     return F.when(F.size(found) == 0, F.array(F.lit(1).cast("bigint"))).otherwise(found)

@@ -48,17 +48,29 @@ def answer(index: Index, ranked: DataFrame, queries: DataFrame, m: int = 3, bala
     return taken.select("qid", "turn", "rank", F.col("n").alias("pos"), "chunk_id", "text", "relevance")
 
 
-def parse_cited(answers: DataFrame, n_sources: int) -> DataFrame:
-    """qid, pos, text, citations of the sentences of cited texts (qid, text)."""
-    sents = answers.select("qid", F.posexplode(sentences(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("pos", "s"))
-    return sents.select("qid", "pos", without_citations(F.col("s")).alias("text"), citations(F.col("s"), n_sources).alias("citations")).filter("text <> ''")
+def parse_cited(answers: DataFrame, sources: int | DataFrame) -> DataFrame:
+    """qid, pos, text, citations of the sentences of cited texts (qid, text); sources: how many there are, or what was retrieved
+    (qid, rank), where each query has as many as it has rows."""
+    if isinstance(sources, DataFrame):
+        counted = answers.join(sources.groupBy("qid").agg(F.count("*").alias("sources")), "qid", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    else:
+        counted = answers.withColumn("sources", F.lit(sources))
+    sents = counted.select("qid", "sources", F.posexplode(sentences(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("pos", "s"))
+    return sents.select("qid", "pos", without_citations(F.col("s")).alias("text"), citations(F.col("s"), F.col("sources")).alias("citations")).filter("text <> ''")
+
+
+#: What a generator is told, and what more where the sources are filings.
+RULE = "Answer from the numbered sources alone, citing them as [n] after each sentence; say so if they hold no answer."
+FILINGS_RULE = " The sources are excerpts of filings and may be incomplete: give figures exactly as cited, conclude none beyond them, and add that this is no financial advice."
 
 
 def build_prompt(index: Index, ranked: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, prompt: numbered sources and the query, for a generator outside."""
-    source = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit("\n"), F.col("text"))
-    parts = ranked.join(index.chunks.select("chunk_id", "title", "text"), "chunk_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))).alias("p"))
-    rule = "Answer from the numbered sources alone, citing them as [n] after each sentence; say so if they hold no answer."
+    """qid, prompt: numbered sources, filings with ticker, type and period, and the query, for a generator outside."""
+    meta = [F.coalesce(F.col(m), F.lit("")) if m in index.chunks.columns else F.lit("") for m in ("ticker", "filing_type", "period")]
+    filing = F.when(meta[0] != "", F.concat(F.lit(" ("), F.concat_ws(" ", *meta), F.lit(")"))).otherwise(F.lit(""))
+    source = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), filing, F.lit("\n"), F.col("text"))
+    parts = ranked.select("qid", "rank", "chunk_id").join(index.chunks, "chunk_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))).alias("p"))
+    rule = RULE + FILINGS_RULE * index.config.analyzer.finance_mode
     body = F.array_join(F.transform("p", lambda x: x["s"]), "\n\n")
     return parts.join(queries.select("qid", "text"), "qid").select("qid", F.concat(F.lit(rule + "\n\nSources:\n"), body, F.lit("\n\nQuery: "), F.col("text"), F.lit("\n\nAnswer:")).alias("prompt"))
 
@@ -125,7 +137,8 @@ def verify_claims(index: Index, claims: DataFrame, ranked: DataFrame, config: Ve
 
 
 def verify_answer(index: Index, answers: DataFrame, ranked: DataFrame, config: VerifyConfig = VerifyConfig()) -> DataFrame:
-    """Each answer sentence (qid, pos, text, citations) against the source it cites first, and against all sources."""
+    """Each answer sentence (qid, pos, text, citations) against the source it cites first, and against all sources. A sentence whose
+    source was not retrieved has no cited chunk and no support."""
     claims = answers.withColumn("cid", F.concat_ws("/", "qid", F.col("pos").cast("string")))
     pairs = claims.select("qid", "cid", "citations").join(ranked.select("qid", "rank", "chunk_id"), "qid")
     scored = claim_scores(index, claims.select("cid", "text"), pairs.select("cid", "chunk_id")).withColumn("support", support(F.col("cosine"), F.col("penalty"), config.novelty_weight))
@@ -135,6 +148,9 @@ def verify_answer(index: Index, answers: DataFrame, ranked: DataFrame, config: V
     cited = all_.filter(F.col("rank") == F.element_at("citations", 1))
     mismatch = ~F.array_contains("citations", F.col("best_rank").cast("bigint")) & (F.col("best_support") > F.col("support") + 0.10)
     said = verdict(F.round("support", 9), config)
-    joined = claims.join(cited.select("cid", F.col("chunk_id").alias("cited_chunk"), "cosine", "novel", "penalty", "support"), "cid").join(best, "cid").withColumn("cite_mismatch", mismatch)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    joined = claims.join(cited.select("cid", F.col("chunk_id").alias("cited_chunk"), "cosine", "novel", "penalty", "support"), "cid", "left").join(best, "cid", "left")
+    joined = joined.select("qid", "pos", "text", "citations", "cited_chunk", zero("cosine"), F.coalesce("novel", F.array().cast("array<string>")).alias("novel"), zero("penalty"), zero("support"), "best_rank", zero("best_support"))
+    joined = joined.withColumn("cite_mismatch", F.coalesce(mismatch, F.lit(False)))
     return joined.select("qid", "pos", F.col("text").alias("claim"), "citations", "cited_chunk", F.round("cosine", 4).alias("cosine"), F.col("novel").alias("novel_terms"), F.round("penalty", 4).alias("novelty_penalty"), F.round("support", 4).alias("support"),
                          F.when(F.col("cite_mismatch") & (said == "SUPPORTED"), "SUPPORTED (cite mismatch)").otherwise(said).alias("verdict"), "best_rank", F.round("best_support", 4).alias("best_support"), "cite_mismatch")

@@ -158,7 +158,7 @@ def verify_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = ranked(spark, sf_dir).filter("rank <= 5")
     said = mmr_answer(spark, sf_dir).select("qid", F.col("turn").alias("pos"), "text", F.array("rank").alias("citations"))
     out = V.verify_answer(index(spark, sf_dir), said, top)
-    return out.withColumn("novel_terms", F.array_join("novel_terms", " ")).withColumn("citations", F.array_join("citations", ","))
+    return _rounded(out.withColumn("novel_terms", F.array_join("novel_terms", " ")).withColumn("citations", F.array_join("citations", ",")))
 
 
 def parse_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +261,40 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.contributions(index(spark, sf_dir), _items(spark, sf_dir), top))
 
 
+FILINGS = IndexConfig(strategy="finance", analyzer=AnalyzerConfig(finance_mode=True))
+
+
+@lru_cache(maxsize=4)
+def _filings(application: str, sf_dir: str) -> I.Index:
+    """The documents as filings: their source as ticker, their language as filing type, a period by their number."""
+    spark = SparkSession.getActiveSession()
+    period = F.concat(F.lit("FY"), (F.col("doc_id").cast("bigint") % 5 + 2018).cast("string"))
+    docs = corpus(spark, sf_dir).select("doc_id", "title", "text", F.coalesce(F.upper("source"), F.lit("")).alias("ticker"), F.coalesce("lang", F.lit("")).alias("filing_type"), period.alias("period"))
+    return I.build(docs, FILINGS)
+
+
+def filings(spark: SparkSession, sf_dir: str) -> I.Index:
+    return _filings(spark.sparkContext.applicationId, sf_dir)
+
+
+@lru_cache(maxsize=4)
+def _filings_ranked(application: str, sf_dir: str) -> DataFrame:
+    spark = SparkSession.getActiveSession()
+    return written(S.search(_filings(application, sf_dir), _items(spark, sf_dir), SearchConfig(proximity_weight=0.0)), "filings-ranked")
+
+
+def finance_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items as claims against filings, where numbers that a chunk lacks count half as much again."""
+    top = _filings_ranked(spark.sparkContext.applicationId, sf_dir).filter("rank <= 5")
+    scored = V.claim_scores(filings(spark, sf_dir), claims(spark, sf_dir), top.select(F.col("qid").alias("cid"), "chunk_id"))
+    return _rounded(scored.select("cid", "chunk_id", "cosine", "penalty", F.array_join("novel", " ").alias("novel")))
+
+
+def finance_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _filings_ranked(spark.sparkContext.applicationId, sf_dir).filter("rank <= 3")
+    return V.build_prompt(filings(spark, sf_dir), top, _items(spark, sf_dir))
+
+
 QUERIES = {
     "normalize_text": _texts(lambda d: d.select("doc_id", T.normalize(F.col("text")).alias("norm"))),
     "normalize_finance": _texts(lambda d: d.select("doc_id", T.normalize(F.col("text"), True).alias("norm"))),
@@ -272,6 +306,7 @@ QUERIES = {
     "query_words": lambda s, d: _items(s, d).select("qid", F.array_join(T.query_words(F.col("text")), " ").alias("words")),
     "excerpt": lambda s, d: _items(s, d).select("qid", T.excerpt(F.col("text"), F.array(F.lit("the"), F.lit("and"))).alias("excerpt")),
     "highlight": lambda s, d: _items(s, d).select("qid", T.highlight(F.col("text"), ["the", "and"]).alias("marked")),
+    "snippet": lambda s, d: _items(s, d).select("qid", T.snippet(F.col("text"), ["onin", "the", "and"], 120, 20).alias("snippet")),
     "chunk_whole": _chunks("whole"),
     "chunk_sentence": _chunks("sentence"),
     "chunk_fixed": _chunks("fixed"),
@@ -337,5 +372,9 @@ QUERIES = {
     "evidence_recall": evidence_recall,
     "tune_proximity": lambda s, d: _rounded(TU.proximity_grid(index(s, d), _items(s, d), qrels(s, d))),
     "ablation": lambda s, d: _rounded(TU.ablation(corpus(s, d), _items(s, d), qrels(s, d))),
+    "finance_search": lambda s, d: _rounded(_filings_ranked(s.sparkContext.applicationId, d).select("qid", "rank", "chunk_id", "score")),
+    "finance_claims": finance_claims,
+    "finance_prompt": finance_prompt,
+    "bool_filing": lambda s, d: B.boolean(filings(s, d), "ticker:src1 AND (period:fy2019 OR filing:de)"),
     "chunk_ablation": lambda s, d: _rounded(TU.chunk_ablation(corpus(s, d), _items(s, d), qrels(s, d))),
 }
