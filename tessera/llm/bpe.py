@@ -7,7 +7,8 @@ compacts the rows; rows without a mergeable pair leave. Pieces over LONG bytes g
 as a row of a matrix would cost the square of its length.
 
 Defined cases: a null text counts as empty and has no ids; texts of any length are encoded whole; repeated rows are
-encoded each; an empty table gives an empty table. Nothing is shuffled.
+encoded each; ids may be null; an empty table gives an empty table; of the input only doc_id and text are read, so other columns
+cannot clash. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import memory, spread
+from tessera.llm.common import id_as_text, id_back, memory, spread
 
 LONG = 256
 CACHE = 700_000
@@ -184,7 +185,7 @@ def coder_of(path: str, pattern: str) -> ByteBPE:
 def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids and the decoded text."""
     kept = ", ids array<int>, decoded binary" * keep_ids
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}"
+    schema = f"doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = coder_of(path, pattern)
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids
                 yield pd.concat([part[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
+    return id_back(spread(docs.select(id_as_text(), "text")).mapInPandas(run, schema), docs)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -213,7 +214,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "decoded": [coder.decode([] if x is None else list(x)) for x in f["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return id_back(encoded.select(id_as_text(), "ids").mapInPandas(run, "doc_id string, decoded binary"), encoded)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

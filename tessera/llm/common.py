@@ -111,6 +111,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy", keep: bool =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_as_text() -> Column:
+    """doc_id as text, as which it goes through Python: whole numbers beside nulls would turn into floats there."""
+    return F.col("doc_id").cast("string").alias("doc_id")
+
+
+def id_back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """df with doc_id in the type it has in docs."""
+    return df.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
 def row_keys() -> list[Column]:
     """Two longs that tell rows of one id and text from all others: a hash of the id, which for whole numbers is one to one, and
     one of both. Rows of different ids are never taken for each other by the second alone."""

@@ -28,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from tessera.llm.common import crc32_of, memory, spread
+from tessera.llm.common import crc32_of, memory, others, spread
 
 PER_LANGUAGE = 300
 ROUNDS = 4
@@ -215,17 +217,18 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
     """docs with lang_pred and score, from text alone."""
     send = docs.sparkSession.sparkContext.broadcast((pieces, languages, p))
     model = uuid.uuid4().hex
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
+    own = others(docs, "lang_pred", "score")
+    schema = StructType([*docs.select(*own).schema])
+    place, names = [f.name.lower() for f in schema].index("text"), [*schema.names, "lang_pred", "score"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, languages, p = send.value
         scorer = memory(model, lambda: Scorer(pieces, p)) if languages else None
-        for frame in frames:
-            for k in range(0, len(frame), 500):  # a bounded share of the batch at a time
-                part = frame.iloc[k : k + 500].copy()
-                words = [words_in(t) if isinstance(t, str) else [] for t in part["text"]]
-                best, sure = [], []
+        for batch in batches:
+            best: list[str] = []
+            sure: list[float] = []
+            for k in range(0, batch.num_rows, 500):  # a bounded share of the batch at a time
+                words = [words_in(t) if t is not None else [] for t in batch.column(place).slice(k, 500).to_pylist()]
                 if scorer:
                     scorer.learn({w for ws in words for w in ws})
                 for ws in words:
@@ -237,10 +240,9 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
                     i = int(x.argmax())
                     best.append(languages[i])
                     sure.append(float(1 / np.exp(x - x[i]).sum()))
-                part["lang_pred"], part["score"] = best, sure
-                yield part[[*own, "lang_pred", "score"]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())], names)
 
-    return docs.select(*own).mapInPandas(run, f"{types}, lang_pred string, score double")
+    return docs.select(*own).mapInArrow(run, schema.add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

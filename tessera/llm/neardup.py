@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, memory, row_keys, scratch, spread, written
+from tessera.llm.common import fresh, id_as_text, id_back, memory, row_keys, scratch, spread, written
 from tessera.llm.simhash import SEED, components, fingerprint_of, links, shingle_hashes
 
 #: The similarity is NUM / DEN.
@@ -113,8 +113,8 @@ def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
                 out["keys"].append(np.concatenate([h[~late], h[late]])[: prefix_length(len(h))])
             yield pd.DataFrame({"doc_id": f["doc_id"], "k1": f["k1"], "k2": f["k2"], **out, "fp": np.array(out["fp"], np.uint64).view(np.int64)})
 
-    rows = spread(_keyed(docs))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, sid long, n long, fp long, sketch binary, keys array<long>")
+    rows = spread(_keyed(docs)).withColumn("doc_id", id_as_text())
+    return id_back(rows.mapInPandas(run, "doc_id string, k1 long, k2 long, sid long, n long, fp long, sketch binary, keys array<long>"), docs)
 
 
 def _close(n: Column, m: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, memory, spread, written
+from tessera.llm.common import WORD, id_as_text, id_back, memory, spread, written
 
 #: For each shuffle partition pieces are ranked in so many groups; besides, every length has one at least.
 GROUPS = 8
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int =
     """doc_id, piece, start, length, ids_crc32 of every piece, and with keep_ids its ids (little-endian u32); nth tells all pieces
     of one evaluation apart, so the pieces are to be written before they are packed."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"] + ["ids"] * keep_ids
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long, nth long" + ", ids binary" * keep_ids
+    schema = "doc_id string, piece int, start long, length int, ids_crc32 long, nth long" + ", ids binary" * keep_ids
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = coder_of(tokenizer)
@@ -143,11 +143,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int =
                         row = (doc_id, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), nth)
                         out.append((*row, piece) if keep_ids else row)
                         nth += 1
-            # each column by itself: ids beside nulls must not turn into floats
-            columns = zip(*out, strict=True) if out else [()] * len(names)
-            yield pd.DataFrame({name: pd.Series(list(c), dtype=object if name in ("doc_id", "ids") else None) for name, c in zip(names, columns, strict=True)})
+            yield pd.DataFrame(out, columns=names)
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(cut, schema)
+    return id_back(spread(docs.select(id_as_text(), "text")).mapInPandas(cut, schema), docs)
 
 
 def sweep(runs: list[tuple]) -> list[tuple]:
@@ -261,7 +259,8 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
         return place
 
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("nth")))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "nth") + ", sequence_id long, offset long"
+    ranked = ranked.withColumn("doc_id", id_as_text())
+    types = ", ".join(f"{f.name} {'string' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in found.schema if f.name != "nth") + ", sequence_id long, offset long"
     out, at = None, 0
     while out is None or at < len(placed):
         # whole lengths at a time, so that each piece finds its run in one slice
@@ -271,7 +270,7 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
         some = ranked.filter(F.col("length").between(low, high)) if end < len(placed) or at else ranked
         some = some.mapInPandas(place_with(send), types)
         out, at = some if out is None else out.unionByName(some), max(end, 1)
-    return out
+    return id_back(out, found)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, keep_ids: bool = True) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import memory, row_keys, scratch, spread, written
+from tessera.llm.common import id_as_text, id_back, memory, row_keys, scratch, spread, written
 
 MAX_BITS = 4
 SEED = 42
@@ -85,8 +85,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             yield pd.DataFrame({"doc_id": f["doc_id"], "k1": f["k1"], "k2": f["k2"], "fp": found})
 
     k1, k2 = row_keys()
-    rows = spread(docs.select("doc_id", "text")).select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, fp long")
+    rows = spread(docs.select("doc_id", "text")).select(id_as_text(), "text", k1.alias("k1"), k2.alias("k2"))
+    return id_back(rows.mapInPandas(run, "doc_id string, k1 long, k2 long, fp long"), docs)
 
 
 def masks(n: int, max_bits: int = MAX_BITS) -> list[int]:

@@ -267,18 +267,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
     """docs with repeated words cut from text, and n_words, n_removed (and kept_sha256 of the kept words)."""
     new = [("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType())][: 2 + digest]
     own = others(docs, *[name for name, _ in new])
-    a, b, r = fresh(docs, "k1", "k2", "ranges")
+    a, b, c, d, r = fresh(docs, "k1", "k2", "r1", "r2", "ranges")
     keyed = docs.select("*", *[k.alias(x) for k, x in zip(row_keys(), (a, b), strict=True)])
     flat = F.array_distinct(F.flatten(F.collect_set("ranges")))
     with scratch(docs.sparkSession):
         found = repeated_ranges(keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), "text"), window, seed, hot)
-        ranges = written(found.groupBy("k1", "k2").agg(flat.alias(r)), "ranges", keep=True)
+        ranges = written(found.groupBy(F.col("k1").alias(c), F.col("k2").alias(d)).agg(flat.alias(r)), "ranges", keep=True)
     schema = StructType([*docs.select(*own).schema])
     place = [f.name.lower() for f in schema].index("text")
     for name, kind in new:
         schema = schema.add(name, kind)
     split = [F.col(f"{r}.first"), F.col(f"{r}.windows")]
-    met = keyed.join(ranges, (keyed[a] == ranges["k1"]) & (keyed[b] == ranges["k2"]), "left").select(*own, *split)
+    met = keyed.join(ranges, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left").select(*own, *split)
     return met.mapInArrow(_removed(window, len(own), place, digest, schema.names), schema)
 
 
