@@ -97,14 +97,15 @@ def _build(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _eval(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Proximity tuned on the dev queries, the ladder measured on the test queries."""
+    """Proximity tuned on the dev queries, the ladder measured on the test queries, or on the dev ones where there are no others."""
     docs, queries, qrels = read_corpus(spark, a.corpus), read_queries(spark, a.queries), read_qrels(spark, a.qrels)
     parts = written(E.split_qids(qrels.select("qid").distinct()), "parts")
     part = lambda df, p: df.join(parts.filter(F.col("part") == p).select("qid"), "qid", "left_semi")
     best = T.best_setting(T.proximity_grid(N.build(docs), part(queries, "dev"), part(qrels, "dev"))).first()
-    judged = part(qrels, "test")
-    table = written(T.ablation(docs, part(queries, "test"), judged, setting=(best.weight, best.window, best.prior)), "ablation")
+    asked = "test" if part(qrels, "test").limit(1).count() else "dev"
+    table = written(T.ablation(docs, part(queries, asked), part(qrels, asked), setting=(best.weight, best.window, best.prior)), "ablation")
     sinks.write_csv(table, f"{a.out}_csv")
+    sinks.write_text(spark, sinks.bar_chart(table, "configuration", ["ndcg", "p10", "r100"], f"Retrieval on the {asked} queries"), f"{a.out}_svg")
     print(sinks.markdown(table))
 
 
@@ -120,6 +121,10 @@ def _eval_verify(spark: SparkSession, a: argparse.Namespace) -> None:
     scored = written(VE.scores(index, items, ranked), "scored")
     table = written(VE.report(scored, parts), "report")
     sinks.write_csv(table, f"{a.out}_csv")
+    bins = VE.histogram(scored.join(parts.filter("part = 'test'").select("qid"), "qid", "left_semi")).groupBy("bin").pivot("label", ["SUPPORT", "CONTRADICT", "NEI"]).sum("n").orderBy("bin")
+    all_bins = spark.range(25).withColumnRenamed("id", "bin").join(bins, "bin", "left").fillna(0).orderBy("bin")
+    threshold = table.filter("method = 'cosine'").first().threshold
+    sinks.write_text(spark, sinks.bar_chart(all_bins, "bin", ["SUPPORT", "CONTRADICT", "NEI"], "Cosine by label, and its threshold", at=threshold), f"{a.out}_svg")
     print(sinks.markdown(table))
     test = items.join(parts.filter("part = 'test'").select("qid"), "qid", "left_semi")
     print(sinks.markdown(VE.hit_at_k(index, test, ranked)))

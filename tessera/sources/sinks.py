@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,12 @@ def markdown(report: DataFrame) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in (report.columns, ["---"] * len(report.columns), *rows)) + "\n"
 
 
-def bar_chart(report: DataFrame, label: str, values: list[str], title: str = "", mark: float | None = None) -> str:
-    """A report's values as an SVG chart of grouped bars; mark draws a line at that height."""
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def bar_chart(report: DataFrame, label: str, values: list[str], title: str = "", mark: float | None = None, at: float | None = None) -> str:
+    """A report's values as an SVG chart of grouped bars; mark draws a line at that height, at one across that share of the width."""
     rows = report.select(label, *values).collect()
     top = max([1e-9, *[float(r[v] or 0) for r in rows for v in values]])
     group, height = 14 * len(values) + 16, 220
@@ -41,4 +45,7 @@ def bar_chart(report: DataFrame, label: str, values: list[str], title: str = "",
     if mark is not None:
         y = height + 24 - height * mark / top
         out.append(f'<line x1="20" x2="{20 + group * len(rows)}" y1="{y:.1f}" y2="{y:.1f}" stroke="black" stroke-dasharray="4"/>')
+    if at is not None:
+        x = 20 + group * len(rows) * at
+        out.append(f'<line x1="{x:.1f}" x2="{x:.1f}" y1="24" y2="{height + 24}" stroke="black" stroke-dasharray="4"><title>{at:.2f}</title></line>')
     return "".join(out) + "</svg>"
