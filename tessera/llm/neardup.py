@@ -3,20 +3,20 @@
 All such pairs are found, and no others: the components of exactly those links are the groups. Documents with one set of
 shingles are one from the start, so copies cost nothing further. Shingles stand as 64-bit hashes.
 
-SimHash comes first: sets of one fingerprint, and those that the pivot tables of operator 3 link, are candidates, and every
-candidate pair is held against the whole sets. That joins the great groups of copies at little cost. But 64 bits cannot see all
-the rest: at a similarity of 0.8 two fingerprints differ in up to 14 bits, where neither bands nor pivots tell pairs from
-chance. So what is still apart goes through prefix filtering: two sets of similarity 0.8 share at least 0.8 of either, so under
-any one order of all shingles their prefixes (a fifth of each set and one more) meet in a shingle. Shingles that are frequent in
-a sample come last in the order: that thins the candidates of common passages and, as any order will do, loses none.
+Most texts have no near copy, and they go first. Of a set of n that is similar to another at most a fifth of the shingles are in
+no other set. A fixed share of all hashes (DRAWN of 8) is counted over all texts, and a set of which more of these than that are
+nowhere else is done with: it is in no pair, so the sets that stay may also do without it in all that follows.
 
-Candidates pass a sketch first: how many shingles fall into each of 256 buckets. Sets differ in at least as many shingles as
-these counts differ, so what the sketches discard is below 0.8 for certain. The rest is compared by whole sets, which only
-candidates' texts are read for again.
+For those that stay, shingles are counted once more, now all of them, and ordered from the rarest. Two sets of similarity 0.8
+share at least 0.8 of either, so under any one order of all shingles their prefixes (a fifth of each set and one more) meet in a
+shingle; those in one set alone come first and meet nothing.
 
-Large groups are not paired out. Only shingles at which sets of different groups meet are looked at. Two rounds link the members
-of such a key to one leader each (the member that meets most others, then one by hash), every link held against the whole sets,
-and what they connect needs no comparison any more; the last round compares all pairs of a key that are still apart.
+Links come in three steps, and what is connected needs no comparison any more. SimHash: sets of one fingerprint, and those that
+the pivot tables of operator 3 link. Leaders: two rounds link the members of a key to one each (the member that meets most
+others, then one by hash). Then the members of a key that are still apart are compared by a sketch: how many shingles fall into
+each of 256 buckets. Sets differ in at least as many shingles as these counts differ, so what the sketches discard is below 0.8
+for certain. They travel as one row for each member of a key (keys of over CHUNK: one for each chunk it meets), never as pairs.
+Every link of all steps is held against the whole sets.
 
 Defined cases: shingles are of ASCII-lowered words, a shorter text is one shingle; null and blank texts have the empty set
 and form one group; texts of any length are read whole; rows with a null id take part; of repeated rows one stays; an empty
@@ -26,6 +26,7 @@ table gives an empty table; other columns pass through, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,11 +40,13 @@ from tessera.llm.simhash import SEED, components, fingerprint_of, links, shingle
 #: The similarity is NUM / DEN.
 NUM, DEN = 4, 5
 SHINGLE = 5
-#: A shingle is frequent from FREQUENT documents of a sample of SAMPLE on; MOST such are sent to the workers. They only set the order.
-SAMPLE, FREQUENT, MOST = 5_000, 4, 1_000_000
-#: Shared shingles up to which they are broadcast (8 MB).
+#: Shingles that so many sets have are alike in the order, which decides nothing but the work.
+FREQUENT = 1_000
+#: Of all hashes so many in 8 are counted first.
+DRAWN = 3
+#: Keys (rows, sets) up to which they are broadcast (some MB).
 BROADCAST = 1_000_000
-#: Members of a group at one key that are held together.
+#: Members of a key that are held together.
 CHUNK = 512
 
 
@@ -67,17 +70,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
 
 
-def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """sid (of the set), n and h (the set) of the rows' texts."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory()
-        for f in frames:
-            for k in range(0, len(f), 500):
-                h = [shingles(x if isinstance(x, str) else None, shingle) for x in f["text"].iloc[k : k + 500]]
-                yield pd.DataFrame({"sid": [_sid(x) for x in h], "n": [len(x) for x in h], "h": h})
-
-    return rows.select("text").mapInPandas(run, "sid long, n long, h array<long>")
+def _light(df: DataFrame) -> DataFrame:
+    """df (written), to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _sid(h: np.ndarray) -> int:
@@ -85,36 +80,56 @@ def _sid(h: np.ndarray) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
-    rows = _keyed(docs)
-    some = rows.filter(F.pmod(F.xxhash64("k1", "k2", F.lit(5)), F.lit(max(1, docs.count() // SAMPLE))) == 0)
-    counts = _sets(some, shingle).select(F.explode("h").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    found = counts.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "x").limit(MOST).select("x").toPandas()
-    return np.sort(found["x"].to_numpy(np.int64))
-
-
 def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, k1 and k2 (of the row), sid, n, fp (fingerprint), sketch and keys (the prefix of the set) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))  # at most MOST numbers
+    """doc_id, k1 and k2 (of the row), sid and n (of the set) and drawn (the counted share of its hashes) of every row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory()
-        last = sent.value
         for f in frames:
-            out: dict[str, list] = {c: [] for c in ("sid", "n", "fp", "sketch", "keys")}
-            for x in f["text"]:
-                every = shingle_hashes(x if isinstance(x, str) else None, shingle)
-                h = np.unique(every.view(np.int64))
-                late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
-                out["sid"].append(_sid(h))
-                out["n"].append(len(h))
-                out["fp"].append(fingerprint_of(every))
-                out["sketch"].append(np.minimum(np.bincount(h & 255, minlength=256), 255).astype(np.uint8).tobytes())
-                out["keys"].append(np.concatenate([h[~late], h[late]])[: prefix_length(len(h))])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "k1": f["k1"], "k2": f["k2"], **out, "fp": np.array(out["fp"], np.uint64).view(np.int64)})
+            for k in range(0, len(f), 500):
+                part = f.iloc[k : k + 500]
+                h = [shingles(x if isinstance(x, str) else None, shingle) for x in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "k1": part["k1"].to_numpy(), "k2": part["k2"].to_numpy(), "sid": [_sid(x) for x in h], "n": [len(x) for x in h], "drawn": [x[(x & 7) < DRAWN] for x in h]})
 
     rows = spread(_keyed(docs)).withColumn("doc_id", id_as_text())
-    return id_back(rows.mapInPandas(run, "doc_id string, k1 long, k2 long, sid long, n long, fp long, sketch binary, keys array<long>"), docs)
+    return id_back(rows.mapInPandas(run, "doc_id string, k1 long, k2 long, sid long, n long, drawn array<long>"), docs)
+
+
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """sid, n, fp (fingerprint), sketch and h (the set) of the rows' texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
+        for f in frames:
+            for k in range(0, len(f), 500):
+                every = [shingle_hashes(x if isinstance(x, str) else None, shingle) for x in f["text"].iloc[k : k + 500]]
+                h = [np.unique(x.view(np.int64)) for x in every]
+                sketch = [np.minimum(np.bincount(x & 255, minlength=256), 255).astype(np.uint8).tobytes() for x in h]
+                yield pd.DataFrame({"sid": [_sid(x) for x in h], "n": [len(x) for x in h], "fp": np.array([fingerprint_of(x) for x in every], np.uint64).view(np.int64), "sketch": sketch, "h": h})
+
+    return rows.select("text").mapInPandas(run, "sid long, n long, fp long, sketch binary, h array<long>")
+
+
+def _prefix(n: Column) -> Column:
+    """prefix_length as a column, of n over 0."""
+    return n - F.floor((n * NUM + (DEN - 1)) / DEN) + 1
+
+
+def _staying(found: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Of the distinct sets, those with so few drawn shingles of their own that they can be in a pair."""
+    keyed = found.select("sid", F.explode("drawn").alias("key"))
+    alone = keyed.groupBy("key").agg(F.min("sid").alias("one"), F.max("sid").alias("last")).filter("one = last").groupBy("one").agg(F.count("*").alias("alone"))
+    return distinct.join(alone, F.col("sid") == F.col("one"), "left").filter((F.col("n") > 0) & (F.coalesce("alone", F.lit(0)) < _prefix(F.col("n")))).select("sid", "rep")
+
+
+def _keys(held: DataFrame) -> DataFrame:
+    """sid, n, key: of every set the shingles of its prefix that other sets have too."""
+    each = held.select("sid", "n", F.explode("h").alias("key"))
+    shared = each.select("key").groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    order = F.sort_array(F.collect_list(F.struct(F.least("df", F.lit(FREQUENT)).alias("df"), "key")))
+    mine = each.join(shared, "key").groupBy("sid", "n").agg(order.alias("keys"))
+    left = _prefix(F.col("n")) - (F.col("n") - F.size("keys"))  # what the set has alone comes first
+    return mine.filter(left > 0).select("sid", "n", F.explode(F.slice("keys.key", F.lit(1), left.cast("int"))).alias("key"))
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -122,7 +137,7 @@ def _close(n: Column, m: Column) -> Column:
     return (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
 
 
-def _sketched(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (u, v) without those that differ too much already by their sketches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,44 +147,91 @@ def _sketched(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
                 apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
                 yield f.loc[apart * (NUM + DEN) <= (f["nu"] + f["nv"]).to_numpy() * (DEN - NUM), ["u", "v"]]
 
-    u, v = (distinct.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    u, v = (held.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
     return pairs.join(v, "v").join(u, "u").mapInPandas(run, "u long, v long")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int) -> DataFrame:
+def _whole(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Of the pairs (u, v), those whose whole sets are similar enough."""
-    pairs = written(_sketched(pairs, distinct), "pairs")
-    need = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-    rows = distinct.join(need, "sid", "left_semi").select("rep.k1", "rep.k2")
-    texts = _keyed(docs).join(rows, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    held = written(_sets(spread(texts), shingle), "held")
     u, v = (held.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "uv")
     both = pairs.join(v, "v").join(u, "u")
     return written(both.filter(similar(F.size(F.array_intersect("hu", "hv")), F.col("nu"), F.col("nv"))).select("u", "v"), "similar")
 
 
+def _checked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    return _whole(written(_sketched(pairs, held), "pairs"), held)
+
+
+def _apart(sids: np.ndarray, ns: np.ndarray, labels: np.ndarray, sides: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of one key that have different labels and sides and could be similar by their sizes and sketches."""
+    for i in range(len(sids) - 1):
+        n, m = ns[i], ns[i + 1 :]
+        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & (sides[i + 1 :] != sides[i]) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM))
+        if len(j):
+            differ = np.abs(sketches[j] - sketches[i]).sum(axis=1, dtype=np.int64)
+            j = j[differ * (NUM + DEN) <= (n + ns[j]) * (DEN - NUM)]
+            if len(j):
+                yield np.minimum(sids[i], sids[j]), np.maximum(sids[i], sids[j])
+
+
+def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, c and d -> the pairs (u, v) of each such group; a group may go on in the next frame."""
+    memory()
+    held = None
+    for f in chain(frames, [None]):
+        now = held if f is None else f if held is None else pd.concat([held, f], ignore_index=True)
+        if now is None or not len(now):
+            continue
+        at = now[["key", "c", "d"]].to_numpy(np.int64)
+        starts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1]
+        ends = np.r_[starts[1:], len(now)] if f is None else starts[1:]  # the last group may not be whole
+        held = None if f is None else now.iloc[starts[-1] :].reset_index(drop=True)
+        if not len(ends):
+            continue
+        now = now.iloc[: ends[-1]]
+        sids, ns, labels, sides = (now[c].to_numpy(np.int64) for c in ("sid", "n", "label", "at"))
+        sides = np.where(now["c"] == now["d"], sids, sides)  # of two chunks only the pairs across
+        sketches = np.frombuffer(b"".join(now["sketch"]), np.uint8).reshape(-1, 256).astype(np.int16)
+        found = [p for a, b in zip(starts, ends) if b > a + 1 for p in _apart(sids[a:b], ns[a:b], labels[a:b], sides[a:b], sketches[a:b])]
+        if found:
+            yield pd.DataFrame({"u": np.concatenate([np.broadcast_to(u, v.shape) for u, v in found]), "v": np.concatenate([v for _, v in found])}).drop_duplicates()
+
+
+def _rest(labelled: DataFrame, held: DataFrame) -> DataFrame:
+    """u, v: pairs of sets that meet at a key (key, sid, n, label), have different labels and could be similar."""
+    many = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("c")).filter("least < most")
+    still = _light(written(many.select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")), "still"))
+    members = labelled.select("key", "sid", "n", "label").join(still, "key").withColumn("at", F.pmod(F.xxhash64("sid", F.lit(9)), "chunks").cast("int"))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", "sid", "n", "label", "at", F.least("at", "other").alias("c"), F.greatest("at", "other").alias("d"))
+    rows = met.join(_light(written(held.select("sid", "sketch"), "sketches")), "sid")
+    dealt = rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").select("key", "c", "d", "sid", "n", "label", "at", "sketch")
+    return dealt.mapInPandas(_compared, "u long, v long").distinct()
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """sid, rep (of the row of least id), root of every distinct set; one root is one group."""
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     with scratch(docs.sparkSession):
         found = written(_profiles(docs, shingle), "profiles")
-        one = found.groupBy("sid").agg(F.min(rep).alias("rep"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
-        distinct = written(one, "distinct", keep=True)
+        distinct = written(found.groupBy("sid").agg(F.min(rep).alias("rep"), F.first("n").alias("n")), "distinct", keep=True)
+        staying = written(_staying(found, distinct), "staying")
+        rows = _light(written(staying.select("rep.k1", "rep.k2"), "rows"))
+        held = written(_sets(spread(_keyed(docs).join(rows, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])), shingle), "held", keep=True)
+    keyed = written(_keys(held), "keyed")
 
     # sets of one fingerprint, and of linked ones
-    heads = written(distinct.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("head")), "heads")
-    same = distinct.join(heads, "fp").filter((F.col("sid") != F.col("head.sid")) & _close(F.col("n"), F.col("head.n"))).select(F.col("head.sid").alias("u"), F.col("sid").alias("v"))
+    sets = written(held.join(keyed.select("sid").distinct(), "sid", "left_semi").select("sid", "n", "fp"), "sets")
+    heads = written(sets.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("head")), "heads")
+    same = sets.join(heads, "fp").filter((F.col("sid") != F.col("head.sid")) & _close(F.col("n"), F.col("head.n"))).select(F.col("head.sid").alias("u"), F.col("sid").alias("v"))
     a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "uv")
     near = links(heads.select("fp")).join(a, "u").join(b, "v").filter(_close(F.col("hu.n"), F.col("hv.n"))).select(F.col("hu.sid").alias("u"), F.col("hv.sid").alias("v"))
-    edges = _checked(same.unionByName(near), docs, distinct, shingle)
+    edges = _checked(same.unionByName(near), held)
     named = written(components(edges), "components")
 
     # the shingles at which sets that are still apart meet
-    labels = distinct.join(named, distinct["sid"] == named["node"], "left").select("sid", "n", "keys", F.coalesce("root", "sid").alias("label"))
-    labels = written(labels, "labels")
-    keyed = labels.select("sid", "n", "label", F.explode("keys").alias("key"))
-    mixed = written(keyed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("others")).filter("least < most").select("key", "others"), "mixed")
-    met = written(keyed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST else mixed, "key"), "met")
+    labels = keyed.join(named, keyed["sid"] == named["node"], "left").select("sid", "n", "key", F.coalesce("root", "sid").alias("label"))
+    mixed = written(labels.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("others")).filter("least < most").select("key", "others"), "mixed")
+    met = written(labels.join(_light(mixed), "key"), "met")
     central = met.groupBy("sid").agg(F.sum("others").alias("central"))
     met = written(met.drop("others").join(central, "sid"), "met")
 
@@ -177,21 +239,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     for by in (F.col("central"), F.xxhash64("sid", F.lit(3))):
         leads = labelled.groupBy("key").agg(F.max(F.struct(by.alias("by"), "sid", "n", "label")).alias("head"))
         apart = labelled.join(written(leads, "leads"), "key").filter((F.col("label") != F.col("head.label")) & _close(F.col("n"), F.col("head.n")))
-        edges = edges.unionByName(_checked(apart.select(F.col("head.sid").alias("u"), F.col("sid").alias("v")).distinct(), docs, distinct, shingle))
+        edges = edges.unionByName(_checked(apart.select(F.col("head.sid").alias("u"), F.col("sid").alias("v")).distinct(), held))
         named = written(components(edges), "components")
         labelled = written(met.drop("label").join(named, met["sid"] == named["node"], "left").select("key", "sid", "n", "central", F.coalesce("root", "sid").alias("label")), "labelled")
 
-    split = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-    still = written(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key"), "still")
-    chunk = F.pmod(F.xxhash64("sid", F.lit(9)), F.ceil(F.col("c") / CHUNK))
-    parts = labelled.join(still, "key").join(split, ["key", "label"]).groupBy("key", "label", chunk.alias("chunk")).agg(F.collect_list(F.struct("sid", "n")).alias("members"))
-    parts = written(parts, "parts")
-    other = parts.select("key", F.col("label").alias("label2"), F.col("members").alias("members2"))
-    met_twice = parts.join(other, "key").filter("label < label2").select(F.explode("members").alias("a"), "members2")
-    fits = F.filter("members2", lambda b: _close(F.col("a.n"), b["n"]))
-    rest = met_twice.select("a", F.explode(fits).alias("b")).select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")).distinct()
-    edges = edges.unionByName(_checked(rest, docs, distinct, shingle))
-
+    edges = edges.unionByName(_whole(written(_rest(labelled, held), "rest"), held))
     named = written(components(edges), "components")
     return distinct.join(named, distinct["sid"] == named["node"], "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
 

@@ -155,6 +155,34 @@ def test_neardup(spark):
     assert neardup.dedup(df.limit(0)).count() == 0
 
 
+def test_neardup_meets_few(spark):
+    """Texts without a near copy go before any key is dealt, and a group whose members are just not similar is not paired out."""
+    rng = np.random.default_rng(8)
+    base = [f"b{x}" for x in range(300)]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 200)) for _ in range(300)]
+    for _ in range(150):
+        words = list(base)
+        for at in rng.choice(58, rng.integers(5, 8), replace=False) * 5:
+            words[at] = f"c{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = neardup._profiles(df, 5)
+    distinct = found.groupBy("sid").agg(F.first("n").alias("n"), F.first("doc_id").alias("rep"))
+    stay = {r.rep for r in neardup._staying(found, distinct).collect()}
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    similar = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
+    pairs = {(i, j) for i in range(300, 450) for j in range(i + 1, 450) if similar(sets[i], sets[j])}
+    assert 0 < len(pairs) < 2_000 and {x for p in pairs for x in p} <= stay and not any(i < 200 for i in stay)
+
+    held = neardup._sets(df, 5).cache()
+    labelled = neardup._keys(held).withColumn("label", F.col("sid")).cache()
+    ids = {neardup._sid(neardup.shingles(t)): i for i, t in enumerate(texts)}
+    neardup.CHUNK, before = 16, neardup.CHUNK
+    met = {tuple(sorted((ids[r.u], ids[r.v]))) for r in neardup._rest(labelled, held).collect()}
+    neardup.CHUNK = before
+    assert pairs <= met and len(met) < 150 * 149 / 4
+
+
 def test_langid(spark):
     en, de = "the house and the garden are with that thing ", "das haus und der garten sind mit dem ding "
     rows = [(i, (en, de)[i % 2] * 3, ("en", "de")[i % 2]) for i in range(30)] + [(98, None, "en"), (99, "1234 !!", "en")]
