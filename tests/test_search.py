@@ -189,6 +189,8 @@ def test_search_moves_few_positions(index, spark, monkeypatch):
     assert kept == {("q", f"c{i}") for i in range(60, 100)} | {("p", "c1")}  # 60 * 1.5 is the tenth base
     assert len(S.reaching(base, 10, 0.5, 30.0).collect()) == 61  # from 40 on
 
+    assert len(S.reaching(base.withColumn("used", F.lit(20)), 10, 0.5, 0.0).collect()) == 11  # two of twenty terms are one of 190 pairs
+
     words = [r.term for r in index.term_stats.filter("df > 1").orderBy("term").limit(3).collect()]
     queries = spark.createDataFrame([("q", " ".join(words))], "qid string, text string")
     config = SearchConfig(k=2, static_weight=0.1)
