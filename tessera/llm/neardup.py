@@ -14,9 +14,12 @@ shingle; those in one set alone come first and meet nothing.
 Links come in three steps, and what is connected needs no comparison any more. SimHash: sets of one fingerprint, and those that
 the pivot tables of operator 3 link. Leaders: two rounds link the members of a key to one each (the member that meets most
 others, then one by hash). Then the members of a key that are still apart are compared by a sketch: how many shingles fall into
-each of 256 buckets. Sets differ in at least as many shingles as these counts differ, so what the sketches discard is below 0.8
-for certain. They travel as one row for each member of a key (keys of over CHUNK: one for each chunk it meets), never as pairs.
-Every link of all steps is held against the whole sets.
+each of some buckets (256, more for long texts). Sets differ in at least as many shingles as these counts differ, so what the
+sketches discard is below 0.8 for certain. What they do not discard becomes a spanning forest a key, and the components of all
+forests hold every pair that could link; within a component the whole sets are compared, again into a spanning forest. Sets travel
+as one row for each key or component (of over CHUNK, or over WEIGHT shingles: one for each chunk it meets), never as pairs, and no
+step returns more rows than it was dealt. Keys with the same members are compared once. Every link of all steps is held against the
+whole sets.
 
 Defined cases: shingles are of ASCII-lowered words, a shorter text is one shingle; null and blank texts have the empty set
 and form one group; texts of any length are read whole; rows with a null id take part; of repeated rows one stays; an empty
@@ -48,6 +51,10 @@ DRAWN = 3
 BROADCAST = 1_000_000
 #: Members of a key that are held together.
 CHUNK = 512
+#: Shingles of whole sets that are held together (8 MB).
+WEIGHT = 1 << 20
+#: Buckets of a sketch, doubled until they are half as many as the shingles.
+BUCKETS = 256
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -80,6 +87,14 @@ def _sid(h: np.ndarray) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def sketch_of(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each bucket, 255 at most."""
+    width = BUCKETS
+    while 2 * width < len(h):
+        width *= 2
+    return np.minimum(np.bincount(h & (width - 1), minlength=width), 255).astype(np.uint8).tobytes()
+
+
 def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, k1 and k2 (of the row), sid and n (of the set) and drawn (the counted share of its hashes) of every row."""
 
@@ -104,8 +119,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
             for k in range(0, len(f), 500):
                 every = [shingle_hashes(x if isinstance(x, str) else None, shingle) for x in f["text"].iloc[k : k + 500]]
                 h = [np.unique(x.view(np.int64)) for x in every]
-                sketch = [np.minimum(np.bincount(x & 255, minlength=256), 255).astype(np.uint8).tobytes() for x in h]
-                yield pd.DataFrame({"sid": [_sid(x) for x in h], "n": [len(x) for x in h], "fp": np.array([fingerprint_of(x) for x in every], np.uint64).view(np.int64), "sketch": sketch, "h": h})
+                yield pd.DataFrame({"sid": [_sid(x) for x in h], "n": [len(x) for x in h], "fp": np.array([fingerprint_of(x) for x in every], np.uint64).view(np.int64), "sketch": [sketch_of(x) for x in h], "h": h})
 
     return rows.select("text").mapInPandas(run, "sid long, n long, fp long, sketch binary, h array<long>")
 
@@ -137,14 +151,32 @@ def _close(n: Column, m: Column) -> Column:
     return (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
 
 
+def _lengths(values: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(len, values), np.int64, len(values))
+
+
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """The counts of sketches in width buckets; those of sketches twice as wide are summed."""
+    out, lengths = np.empty((len(sketches), width), np.int16), _lengths(sketches)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        out[at] = np.frombuffer(b"".join(sketches[at]), np.uint8).reshape(len(at), -1, width).sum(axis=1, dtype=np.int16)
+    return out
+
+
 def _sketched(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (u, v) without those that differ too much already by their sketches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                a, b = (np.frombuffer(b"".join(f[f"s{x}"]), np.uint8).reshape(-1, 256).astype(np.int16) for x in "uv")
-                apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
+                a, b = f["su"].to_numpy(), f["sv"].to_numpy()
+                width, apart = np.minimum(_lengths(a), _lengths(b)), np.empty(len(f), np.int64)
+                for w in np.unique(width):
+                    at = np.flatnonzero(width == w)
+                    for k in range(0, len(at), step := max(1, (1 << 21) // w)):
+                        some = at[k : k + step]
+                        apart[some] = np.abs(_folded(a[some], w) - _folded(b[some], w)).sum(axis=1, dtype=np.int64)
                 yield f.loc[apart * (NUM + DEN) <= (f["nu"] + f["nv"]).to_numpy() * (DEN - NUM), ["u", "v"]]
 
     u, v = (held.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
@@ -163,49 +195,108 @@ def _checked(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _apart(sids: np.ndarray, ns: np.ndarray, labels: np.ndarray, sides: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets of one key that have different labels and sides and could be similar by their sizes and sketches."""
+    """A spanning forest of the pairs of one key's sets that have different labels and sides and could be similar by their sizes and sketches."""
+    widths, tree = _lengths(sketches), np.arange(len(sids))
+    for w in np.unique(widths):  # sets of similar sizes have sketches of one width, or of one and its double
+        at = np.flatnonzero((widths == w) | (widths == 2 * w))
+        counts, wide = _folded(sketches[at], w), widths[at] > w
+        for k in np.flatnonzero(~wide):
+            i = at[k]
+            n, m = ns[i], ns[at]
+            q = np.flatnonzero((tree[at] != tree[i]) & (labels[at] != labels[i]) & (sides[at] != sides[i]) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (wide | (at > i)))
+            if len(q):
+                differ = np.abs(counts[q] - counts[k]).sum(axis=1, dtype=np.int64)
+                j = at[q[differ * (NUM + DEN) <= (n + m[q]) * (DEN - NUM)]]
+                if len(j):
+                    j = _joined(tree, i, j)
+                    yield np.minimum(sids[i], sids[j]), np.maximum(sids[i], sids[j])
+
+
+def _joined(tree: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """One of places j of each tree, all of which become one with the tree of place i."""
+    trees, first = np.unique(tree[j], return_index=True)
+    tree[np.isin(tree, trees)] = tree[i]
+    return j[first]
+
+
+def _alike(sids: np.ndarray, ns: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: np.ndarray, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of sets of different labels and sides that are similar, or a spanning forest of them and the labels."""
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts, tree = np.r_[0, np.cumsum(ns)[:-1]], np.unique(labels, return_inverse=True)[1]
+    mine = np.zeros(len(place), bool)
     for i in range(len(sids) - 1):
         n, m = ns[i], ns[i + 1 :]
-        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & (sides[i + 1 :] != sides[i]) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM))
-        if len(j):
-            differ = np.abs(sketches[j] - sketches[i]).sum(axis=1, dtype=np.int64)
-            j = j[differ * (NUM + DEN) <= (n + ns[j]) * (DEN - NUM)]
+        q = np.flatnonzero((tree[i + 1 :] != tree[i]) & (sides[i + 1 :] != sides[i]) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM))
+        if len(q):
+            mine[own := place[starts[i] : starts[i] + n]] = True
+            common = np.add.reduceat(mine[place[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)[q]
+            mine[own] = False
+            j = i + 1 + q[common * (NUM + DEN) >= (n + m[q]) * NUM]
             if len(j):
+                j = _joined(tree, i, j) if forest else j
                 yield np.minimum(sids[i], sids[j]), np.maximum(sids[i], sids[j])
 
 
-def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key, c and d -> the pairs (u, v) of each such group; a group may go on in the next frame."""
-    memory()
-    held = None
+def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows sorted by key, c and d, with the starts and ends of their groups; a group may go on in the next frame."""
+    held: list[pd.DataFrame] = []
     for f in chain(frames, [None]):
-        now = held if f is None else f if held is None else pd.concat([held, f], ignore_index=True)
-        if now is None or not len(now):
-            continue
+        held += [] if f is None or not len(f) else [f]
+        last = held[-1] if held else None
+        if last is None or f is not None and (last[["key", "c", "d"]].to_numpy(np.int64)[-1] == held[0][["key", "c", "d"]].to_numpy(np.int64)[0]).all():
+            continue  # all of one group, which may go on
+        now = pd.concat(held, ignore_index=True)
         at = now[["key", "c", "d"]].to_numpy(np.int64)
         starts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1]
         ends = np.r_[starts[1:], len(now)] if f is None else starts[1:]  # the last group may not be whole
-        held = None if f is None else now.iloc[starts[-1] :].reset_index(drop=True)
-        if not len(ends):
-            continue
-        now = now.iloc[: ends[-1]]
+        held = [] if f is None else [now.iloc[starts[-1] :]]
+        yield now, starts[: len(ends)], ends
+
+
+def _compared(frames: Iterator[pd.DataFrame], forest: bool = True) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, c and d -> pairs (u, v) of each such group, by sketches or, where there are any, by whole sets."""
+    memory()
+    for now, starts, ends in _cells(frames):
         sids, ns, labels, sides = (now[c].to_numpy(np.int64) for c in ("sid", "n", "label", "at"))
         sides = np.where(now["c"] == now["d"], sids, sides)  # of two chunks only the pairs across
-        sketches = np.frombuffer(b"".join(now["sketch"]), np.uint8).reshape(-1, 256).astype(np.int16)
-        found = [p for a, b in zip(starts, ends) if b > a + 1 for p in _apart(sids[a:b], ns[a:b], labels[a:b], sides[a:b], sketches[a:b])]
+        if "h" in now:
+            sets = now["h"].to_numpy()
+            found = [p for a, b in zip(starts, ends) if b > a + 1 for p in _alike(sids[a:b], ns[a:b], labels[a:b], sides[a:b], sets[a:b], forest)]
+        else:
+            sketches = now["sketch"].to_numpy()
+            found = [p for a, b in zip(starts, ends) if b > a + 1 for p in _apart(sids[a:b], ns[a:b], labels[a:b], sides[a:b], sketches[a:b])]
         if found:
-            yield pd.DataFrame({"u": np.concatenate([np.broadcast_to(u, v.shape) for u, v in found]), "v": np.concatenate([v for _, v in found])}).drop_duplicates()
+            yield pd.DataFrame({"u": np.concatenate([u for u, _ in found]), "v": np.concatenate([v for _, v in found])}).drop_duplicates()
+
+
+def _dealt(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of keys (key, sid, n, label, chunks) with their sets, in groups of two chunks (c, d)."""
+    met = members.withColumn("at", F.pmod(F.xxhash64("sid", F.lit(9)), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = met.select("key", F.least("at", "other").alias("c"), F.greatest("at", "other").alias("d"), "sid", "n", "label", "at").join(sets, "sid")
+    return rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").select("key", "c", "d", "sid", "n", "label", "at", *[c for c in sets.columns if c != "sid"])
+
 
+def _could(labelled: DataFrame, held: DataFrame) -> DataFrame:
+    """u, v: forests whose components hold all sets that meet at a key (key, sid, n, label), have different labels and could be similar."""
+    same = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"x{k}") for k in (5, 6)]
+    many = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("c"), *same).filter("least < most")
+    once = many.groupBy("c", "x5", "x6").agg(F.min("key").alias("key"))  # of keys with the same members one
+    still = _light(written(once.select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")), "still"))
+    sketches = _light(written(held.select("sid", "sketch"), "sketches"))
+    return _dealt(labelled.select("key", "sid", "n", "label").join(still, "key"), sketches).mapInPandas(_compared, "u long, v long").distinct()
+
+
+def _rest(labelled: DataFrame, held: DataFrame, forest: bool = False) -> DataFrame:
+    """u, v: the pairs of sets that meet at a key (key, sid, n, label), have different labels and are similar; or forests that connect the same labels."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _compared(frames, forest)
 
-def _rest(labelled: DataFrame, held: DataFrame) -> DataFrame:
-    """u, v: pairs of sets that meet at a key (key, sid, n, label), have different labels and could be similar."""
-    many = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("c")).filter("least < most")
-    still = _light(written(many.select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")), "still"))
-    members = labelled.select("key", "sid", "n", "label").join(still, "key").withColumn("at", F.pmod(F.xxhash64("sid", F.lit(9)), "chunks").cast("int"))
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", "sid", "n", "label", "at", F.least("at", "other").alias("c"), F.greatest("at", "other").alias("d"))
-    rows = met.join(_light(written(held.select("sid", "sketch"), "sketches")), "sid")
-    dealt = rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").select("key", "c", "d", "sid", "n", "label", "at", "sketch")
-    return dealt.mapInPandas(_compared, "u long, v long").distinct()
+    near = _light(written(components(_could(labelled, held)), "near"))
+    members = written(labelled.join(near, labelled["sid"] == near["node"]).select(F.col("root").alias("key"), "sid", "n", "label").distinct(), "members")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+    sized = _light(written(members.groupBy("key").agg(chunks.alias("chunks")), "sized"))
+    return _dealt(_light(members).join(sized, "key"), held.select("sid", "h")).mapInPandas(run, "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -243,7 +334,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         named = written(components(edges), "components")
         labelled = written(met.drop("label").join(named, met["sid"] == named["node"], "left").select("key", "sid", "n", "central", F.coalesce("root", "sid").alias("label")), "labelled")
 
-    edges = edges.unionByName(_whole(written(_rest(labelled, held), "rest"), held))
+    edges = edges.unionByName(written(_rest(labelled, held, forest=True), "rest"))
     named = written(components(edges), "components")
     return distinct.join(named, distinct["sid"] == named["node"], "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
 

@@ -183,6 +183,72 @@ def test_neardup_meets_few(spark):
     assert pairs <= met and len(met) < 150 * 149 / 4
 
 
+def test_neardup_forests():
+    """A key and a component return fewer pairs than they have sets, whatever links: by sketches of any width, in one frame or several."""
+    rng = np.random.default_rng(9)
+    bases = [rng.integers(-(2**62), 2**62, n) for n in (300, 2_200, 1_500)]
+    sets = [np.unique(np.r_[b[rng.random(len(b)) > share], rng.integers(-(2**62), 2**62, 3)]) for b in (*bases, bases[1][:2_000]) for share in [0.01] * 10 + [0.1] * 20]
+    f = pd.DataFrame({"key": 7, "c": 0, "d": 0, "sid": range(len(sets)), "n": [len(x) for x in sets], "label": range(len(sets)), "at": 0})
+    f["sketch"] = [np.minimum(np.bincount(x & 255, minlength=256), 255).astype(np.uint8).tobytes() for x in sets]
+    n, common = f["n"].to_numpy(), np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+    alike = np.triu(9 * common >= 4 * (n[:, None] + n[None, :]), 1)
+    want = simhash.roots(len(sets), *np.nonzero(alike))
+    assert alike.sum() > 10 * len(sets) and len(set(want)) < len(sets)
+
+    def links(f, *forest):
+        out = pd.concat(neardup._compared(iter([f[:50], f[50:51], f[:0], f[51:]]), *forest))
+        return out["u"].to_numpy(), out["v"].to_numpy()
+
+    u, _ = links(f)
+    assert len(u) < len(sets)
+    f["sketch"] = [neardup.sketch_of(x) for x in sets]
+    assert len(set(f["sketch"].str.len())) > 2
+    u, v = links(f)
+    could = simhash.roots(len(sets), u, v)
+    assert len(u) < len(sets) and all(could[a] == could[b] for a, b in np.argwhere(alike))
+    f["h"] = sets
+    u, v = links(f)
+    assert len(u) < len(sets) and (simhash.roots(len(sets), u, v) == want).all()
+    u, v = links(f, False)
+    assert {*zip(u, v, strict=True)} == {tuple(x) for x in np.argwhere(alike)}
+    f["label"] = want  # connected before
+    assert not list(neardup._compared(iter([f])))
+
+
+def test_neardup_rest(spark):
+    """Sets still apart at a key, in several cliques and by near misses, become the components of all their links, whatever the chunks."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for size, many in ((300, 40), (1_500, 12)):
+        base = [f"b{size}x{x}" for x in range(size)]
+        for clique in range(3):
+            head = [f"q{clique}x{x}" if size * 0.8 < x < size * 0.88 else w for x, w in enumerate(base)]
+            for _ in range(many):
+                words = list(head)
+                for at in rng.choice(size // 5, size // 100 * (1 + 2 * (rng.random() < 0.3)), replace=False) * 5:
+                    words[at] = f"c{rng.integers(0, 10**9)}"
+                texts.append(" ".join(words))
+    sets = [neardup.shingles(t) for t in texts]
+    n = np.array([len(x) for x in sets])
+    common = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+    alike = np.triu(9 * common >= 4 * (n[:, None] + n[None, :]), 1)
+    want = simhash.roots(len(sets), *np.nonzero(alike))
+    assert alike.sum() > 5 * len(sets) and 2 < len(set(want)) < len(sets) - 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    held = neardup._sets(df, 5).cache()
+    labelled = neardup._keys(held).withColumn("label", F.col("sid")).cache()
+    ids = {neardup._sid(x): i for i, x in enumerate(sets)}
+    for chunk, weight in ((neardup.CHUNK, neardup.WEIGHT), (16, 1 << 20), (512, 10_000)):
+        with mock.patch.multiple(neardup, CHUNK=chunk, WEIGHT=weight):
+            every = {tuple(sorted((ids[r.u], ids[r.v]))) for r in neardup._rest(labelled, held).collect()}
+            rows = neardup._rest(labelled, held, forest=True).collect()
+        assert every == {tuple(x) for x in np.argwhere(alike).tolist()}
+        assert (simhash.roots(len(sets), np.array([ids[r.u] for r in rows]), np.array([ids[r.v] for r in rows])) == want).all()
+        assert chunk == 16 or weight == 10_000 or len(rows) < len(sets)
+    kept = sorted(r.doc_id for r in neardup.dedup(df).collect())
+    assert kept == sorted(set(want.tolist()))
+
+
 def test_langid(spark):
     en, de = "the house and the garden are with that thing ", "das haus und der garten sind mit dem ding "
     rows = [(i, (en, de)[i % 2] * 3, ("en", "de")[i % 2]) for i in range(30)] + [(98, None, "en"), (99, "1234 !!", "en")]
