@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, id_as_text, id_back, memory, row_keys, scratch, spread, written
-from tessera.llm.simhash import SEED, components, fingerprint_of, links, shingle_hashes
+from tessera.llm.simhash import SEED, components, fingerprint_of, links, roots, shingle_hashes
 
 #: The similarity is NUM / DEN.
 NUM, DEN = 4, 5
@@ -49,6 +49,8 @@ FREQUENT = 1_000
 DRAWN = 3
 #: Keys (rows, sets) up to which they are broadcast (some MB).
 BROADCAST = 1_000_000
+#: Links up to which one task finds their components (some MB).
+FEW = 200_000
 #: Members of a key that are held together.
 CHUNK = 512
 #: Shingles of whole sets that are held together (8 MB).
@@ -151,6 +153,19 @@ def _close(n: Column, m: Column) -> Column:
     return (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
 
 
+def _grouped(edges: DataFrame) -> DataFrame:
+    """components of the edges; up to FEW are one task, which spares the rounds."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory()
+        pairs = np.concatenate([np.empty((0, 2), np.int64), *(f[["u", "v"]].to_numpy(np.int64) for f in frames)])
+        nodes, at = np.unique(pairs, return_inverse=True)
+        yield pd.DataFrame({"node": nodes, "root": nodes[roots(len(nodes), *at.reshape(-1, 2).T)]})
+
+    e = written(edges.select("u", "v").filter("u != v"), "links")
+    return e.coalesce(1).mapInPandas(run, "node long, root long") if e.count() <= FEW else components(e)
+
+
 def _lengths(values: np.ndarray) -> np.ndarray:
     return np.fromiter(map(len, values), np.int64, len(values))
 
@@ -292,7 +307,7 @@ def _rest(labelled: DataFrame, held: DataFrame, forest: bool = False) -> DataFra
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _compared(frames, forest)
 
-    near = _light(written(components(_could(labelled, held)), "near"))
+    near = _light(written(_grouped(_could(labelled, held)), "near"))
     members = written(labelled.join(near, labelled["sid"] == near["node"]).select(F.col("root").alias("key"), "sid", "n", "label").distinct(), "members")
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / WEIGHT)).cast("int")
     sized = _light(written(members.groupBy("key").agg(chunks.alias("chunks")), "sized"))
@@ -317,7 +332,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "uv")
     near = links(heads.select("fp")).join(a, "u").join(b, "v").filter(_close(F.col("hu.n"), F.col("hv.n"))).select(F.col("hu.sid").alias("u"), F.col("hv.sid").alias("v"))
     edges = _checked(same.unionByName(near), held)
-    named = written(components(edges), "components")
+    named = written(_grouped(edges), "components")
 
     # the shingles at which sets that are still apart meet
     labels = keyed.join(named, keyed["sid"] == named["node"], "left").select("sid", "n", "key", F.coalesce("root", "sid").alias("label"))
@@ -331,11 +346,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         leads = labelled.groupBy("key").agg(F.max(F.struct(by.alias("by"), "sid", "n", "label")).alias("head"))
         apart = labelled.join(written(leads, "leads"), "key").filter((F.col("label") != F.col("head.label")) & _close(F.col("n"), F.col("head.n")))
         edges = edges.unionByName(_checked(apart.select(F.col("head.sid").alias("u"), F.col("sid").alias("v")).distinct(), held))
-        named = written(components(edges), "components")
+        named = written(_grouped(edges), "components")
         labelled = written(met.drop("label").join(named, met["sid"] == named["node"], "left").select("key", "sid", "n", "central", F.coalesce("root", "sid").alias("label")), "labelled")
 
     edges = edges.unionByName(written(_rest(labelled, held, forest=True), "rest"))
-    named = written(components(edges), "components")
+    named = written(_grouped(edges), "components")
     return distinct.join(named, distinct["sid"] == named["node"], "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
 
 

@@ -215,6 +215,19 @@ def test_neardup_forests():
     assert not list(neardup._compared(iter([f])))
 
 
+def test_neardup_components(spark):
+    """Few links are grouped by one task, and as the rounds group many."""
+    rng = np.random.default_rng(11)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-(2**62), 2**62, 300)[rng.integers(0, 300, (170, 2))]] + [(k, k + 1) for k in range(500)] + [(5, 5), (900, 900)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(4)
+    got = []
+    for few in (10**6, 0):
+        with mock.patch.object(neardup, "FEW", few):
+            got.append(sorted(map(tuple, neardup._grouped(edges).collect())))
+            assert neardup._grouped(edges.limit(0)).count() == 0
+    assert got[0] == got[1] and (500, 0) in got[0] and len(dict(got[0])) == len(got[0])
+
+
 def test_neardup_rest(spark):
     """Sets still apart at a key, in several cliques and by near misses, become the components of all their links, whatever the chunks."""
     rng = np.random.default_rng(10)
